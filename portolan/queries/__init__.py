@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["graphs"]
+AREAS = ["graphs", "ranks", "event_queries"]
 
 
 def load():
