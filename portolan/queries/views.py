@@ -104,6 +104,30 @@ VIEWS = {
                CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' WHEN 'click' THEN 'DEBUG'
                     ELSE 'INFO' END AS level
         FROM events""",
+    # source files of five kinds, written out of the parts
+    "source_files": """
+        SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) AS repository,
+               concat(CASE p_size % 6 WHEN 0 THEN 'build/' WHEN 1 THEN 'lib/node_modules/' WHEN 2 THEN 'rebuild/' ELSE 'src/' END,
+                      replace(p_name, ' ', '_'), p_partkey,
+                      CASE p_type WHEN 'ECONOMY' THEN 'Action.java' WHEN 'LARGE' THEN '.jsp' WHEN 'MEDIUM' THEN '.py'
+                           WHEN 'PROMO' THEN '.xml' WHEN 'SMALL' THEN '.min.js' ELSE '' END) AS path,
+               CASE p_type
+               WHEN 'ECONOMY' THEN concat('package com.acme.', replace(p_name, ' ', '.'), ';', chr(10), 'import java.sql.Connection;', chr(10),
+                    'public class Part', p_partkey, 'Action extends Action {', chr(10),
+                    '  public ActionForward execute(ActionMapping mapping) {', chr(10),
+                    '    if (form.isEmpty()) { return mapping.findForward("', replace(p_name, ' ', '_'), '"); }', chr(10),
+                    '    String sql = "SELECT size, price FROM ', upper(replace(p_name, ' ', '_')), ' WHERE size > ', p_size, '";', chr(10),
+                    '    PartService.load(', p_partkey, ');', chr(10), '  }', chr(10), '}')
+               WHEN 'LARGE' THEN concat('<%@ page import="com.acme.Part" %>', chr(10), '<html:form action="/save/', replace(p_name, ' ', '/'), '">',
+                    chr(10), '<bean:write property="', replace(p_name, ' ', '.'), '"/>', chr(10),
+                    CASE WHEN p_size > 25 THEN '<% session.getAttribute("x"); out.println(y); %>' ELSE '<% ResultSet rs = load(); %>' END,
+                    chr(10), '</html:form>')
+               WHEN 'MEDIUM' THEN concat('import os', chr(10), 'class Part', p_partkey, '(Base):', chr(10), '    def get_', replace(p_name, ' ', '_'), '(self):',
+                    chr(10), '        if self.size > ', p_size, ':', chr(10), '            return load(self)', chr(10), '        return None')
+               WHEN 'PROMO' THEN concat('<config><name>', p_name, '</name><size>', p_size, '</size></config>')
+               WHEN 'SMALL' THEN concat('function ', replace(p_name, ' ', '_'), '() { var url = "/api/', replace(p_name, ' ', '/'), '"; }')
+               ELSE concat('def ', p_name, chr(10), 'import ', p_brand) END AS content
+        FROM part""",
     "db_tables": """
         SELECT concat('S', c_nationkey % 5) AS schema_name, concat(c_mktsegment, '_', c_custkey) AS table_name,
                c_custkey AS row_count
