@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from portolan.functions.rules import BLOCK_WORDS
 
+# output batches are handed on once they hold this much text
+FLUSH_CHARACTERS = 4_000_000
+
 
 def line_cuts(text: str, size: int = 1000, overlap: int = 4) -> Iterator[tuple[int, int, str]]:
     """Greedy pieces ``(first line, last line, text)`` of at most ``size`` characters.
@@ -63,25 +68,32 @@ def block_cuts(text: str, language: str = "python") -> Iterator[tuple[int, int,
 def _cut(files: DataFrame, content: str, keep: list[str], cuts: Callable[..., Iterator[tuple[int, int, str]]]) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema.fields]
     cols = ["start_line int", "end_line int", "start_byte long", "end_byte long", "chunk string"]
-    schema = ", ".join(fields + ["chunk_index int"] + cols)
+    schema = T.StructType.fromDDL(", ".join(fields + ["chunk_index int"] + cols))
+    arrow = to_arrow_schema(schema)
+    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # one file at a time keeps the output batches as small as the file
-            for row in batch.itertuples(index=False, name=None):
-                values = dict(zip(batch.columns, row))
-                if values[content] is None:
+            values = batch.to_pydict()
+            out: dict[str, list] = {name: [] for name in names}
+            waiting = 0
+            for pos, text in enumerate(values[content]):
+                if text is None:
                     continue
+                row = {k: values[k][pos] for k in values}
                 # place of each line's first character
-                at = [0, *accumulate(len(x) + 1 for x in values[content].split("\n"))]
-                pieces = [(a, b, at[a], at[b + 1], t) for a, b, t in cuts(values) if t.strip()]
-                out = pd.DataFrame(pieces, columns=[c.split()[0] for c in cols])
-                out.insert(0, "chunk_index", range(len(out)))
-                for pos, name in enumerate(keep):
-                    out.insert(pos, name, [values[name]] * len(out))
-                yield out
-
-    return files.select(*dict.fromkeys([*keep, content])).mapInPandas(run, schema)
+                at = [0, *accumulate(len(x) + 1 for x in text.split("\n"))]
+                pieces = [(a, b, at[a], at[b + 1], t) for a, b, t in cuts(row) if t.strip()]
+                for index, piece in enumerate(pieces):
+                    for name, v in zip(names, [*(row[k] for k in keep), index, *piece]):
+                        out[name].append(v)
+                waiting += len(text)
+                if waiting > FLUSH_CHARACTERS:
+                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                    out, waiting = {name: [] for name in names}, 0
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return files.select(*dict.fromkeys([*keep, content])).mapInArrow(run, schema)
 
 
 def line_chunks(files: DataFrame, content: str = "content", keep: list[str] = ("repository", "path"), size: int = 1000, overlap: int = 4) -> DataFrame:

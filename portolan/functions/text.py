@@ -28,37 +28,47 @@ def classify_first_match(col: Column, rule_list: list[tuple[str, list[str]]], de
     return out
 
 
-def _domain_score(name: Column | None, content: Column | None, words: str, name_weight: int) -> Column:
-    parts = []
-    for w in words.split():
-        if name is not None:
-            parts.append(F.when(name.contains(w), name_weight).otherwise(0))
-        if content is not None:
-            parts.append(F.when(content.contains(w), 1).otherwise(0))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
-
-def _best_label(scores: list[tuple[str, Column]], least: int, default: str | None) -> Column:
-    """Label of the highest score, the earliest rule winning ties."""
-    ranked = F.array_max(
-        F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("l")) for i, (label, s) in enumerate(scores)])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _best_domain(parts: list[tuple[Column, int]], domains: list[tuple[str, str]], least: int) -> Column:
+    """Label with the highest score, the earliest winning ties; null below ``least``.
+
+    Each part adds its weight for every word of the label it contains.
+    """
+    table = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), F.lit(-i).alias("order"), F.array(*[F.lit(w) for w in words.split()]).alias("words"))
+            for i, (label, words) in enumerate(domains)
+        ]
     )
-    return F.when(ranked["s"] >= least, ranked["l"]).otherwise(F.lit(default))
+
+    def hits(text: Column, words: Column) -> Column:
+        return F.size(F.filter(words, lambda w: text.contains(w)))
+
+    def scored(texts: Column) -> Column:
+        def one(d: Column) -> Column:
+            total = F.lit(0)
+            for i, (_, weight) in enumerate(parts):
+                total = total + hits(texts[f"t{i}"], d["words"]) * weight
+            return F.struct(total.alias("score"), d["order"].alias("order"), d["label"].alias("label"))
+
+        return F.array_max(F.transform(table, one))
+
+    best = let(F.struct(*[c.alias(f"t{i}") for i, (c, _) in enumerate(parts)]), scored)
+    return let(best, lambda b: F.when(b["score"] >= least, b["label"]))
 
 
 def classify_domain(name: Column, content: Column, domains=rules.CHUNK_DOMAINS, least: int = 2) -> Column:
     """C14: business domain of a chunk: 3 per word in its name, 1 per word in its content."""
-    n, c = F.lower(F.coalesce(name, F.lit(""))), F.lower(content)
-    return _best_label([(d, _domain_score(n, c, words, 3)) for d, words in domains], least, None)
+    return _best_domain([(F.lower(F.coalesce(name, F.lit(""))), 3), (F.lower(content), 1)], domains, least)
 
 
 def classify_repository_domain(name: Column, explicit: Column | None = None, domains=rules.REPOSITORY_DOMAINS) -> Column:
     """The given domain, else the one with most words in the name, else ``general``."""
-    n = F.lower(name)
-    best = _best_label([(d, _domain_score(n, None, words, 2)) for d, words in domains], 2, "general")
+    best = F.coalesce(_best_domain([(F.lower(name), 2)], domains, 2), F.lit("general"))
     return best if explicit is None else F.coalesce(F.nullif(explicit, F.lit("")), best)
 
 

@@ -44,7 +44,7 @@ def main(sf, names):
             got = df.collect()
         except Exception as e:  # noqa: BLE001
             bad.append(name)
-            print(f"FAIL {name}: spark {str(e)[:600]}", flush=True)
+            print(f"FAIL {name}: spark {str(e)[:400]}", flush=True)
             continue
         took = time.time() - t0
         if name not in oracles:
@@ -57,7 +57,7 @@ def main(sf, names):
             want = cur.fetchall()
         except Exception as e:  # noqa: BLE001
             bad.append(name)
-            print(f"FAIL {name}: duckdb {str(e)[:600]}", flush=True)
+            print(f"FAIL {name}: duckdb {str(e)[:400]}", flush=True)
             continue
         took2 = time.time() - t0
         a, b = rows_of(df.columns, got), rows_of(cols, want)
@@ -65,8 +65,8 @@ def main(sf, names):
             bad.append(name)
             sa, sb = set(a), set(b)
             print(f"FAIL {name}: {len(a)} vs {len(b)} rows; cols {sorted(df.columns)} vs {sorted(cols)}")
-            print("   only spark ", [x for x in a if x not in sb][:3])
-            print("   only duckdb", [x for x in b if x not in sa][:3], flush=True)
+            print("   only spark ", str([x for x in a if x not in sb][:3])[:700])
+            print("   only duckdb", str([x for x in b if x not in sa][:3])[:700], flush=True)
         else:
             print(f"{'ok  ' if a else 'EMPTY'} {name}: {len(a)} rows {took:.1f}s / {took2:.1f}s", flush=True)
     print(f"{len(bad)} bad: {' '.join(bad)}")
