@@ -56,7 +56,7 @@ VIEWS = {
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 2""",
     "vulnerabilities": """
         SELECT p_partkey AS artifact, concat('CVE-', p_partkey) AS cve_id,
-               CASE WHEN p_size >= 50 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, p_size / 5.0 AS score
+               CASE WHEN p_size >= 50 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, p_size / CAST(5 AS DOUBLE) AS score
         FROM part WHERE p_size >= 48""",
     "licenses": """
         SELECT p_partkey AS artifact,
