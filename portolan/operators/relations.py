@@ -15,6 +15,7 @@ from portolan.functions.text import any_word, classify_first_match, column_purpo
 from portolan.operators import graph
 from portolan.operators.rank import first_n_per_group
 from portolan.operators.textjoin import text_join
+from portolan.session import written
 
 # fixed values
 REMOTE_CALLS = ["ServiceLocator.", "RemoteService.", ".lookup(", "JNDI."]
@@ -331,12 +332,14 @@ def find_data_sources(fields: DataFrame, columns: DataFrame) -> DataFrame:
     found = text_join(columns, patterned, "column_name", "pattern", like=True)
     rows = patterned.join(found, "pattern").join(columns, "column_name")
     rows = rows.where((F.col("context") == "") | matches_context(F.col("table_name"), F.col("context")))
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "business_purpose": F.coalesce("comments", column_purpose(F.col("column_name"))),
             "table_context": classify_first_match(F.col("table_name"), rules.TABLE_CONTEXT, "business_data", "upper"),
         }
     )
+    # read by several of the operators below
+    return written(rows, "sources")
 
 
 def top_sources(sources: DataFrame, n: int = 5) -> DataFrame:
