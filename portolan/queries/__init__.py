@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["graphs", "ranks", "event_queries", "filter_queries", "text_queries", "search_queries", "dependency_queries", "relation_queries", "report_queries"]
+AREAS = ["graphs", "ranks", "event_queries", "filter_queries", "text_queries", "search_queries", "dependency_queries", "relation_queries", "report_queries", "source_queries"]
 
 
 def load():
