@@ -40,7 +40,7 @@ def reach(edges: DataFrame, roots: DataFrame | None = None, max_depth: int | Non
             .join(rounds.all().select("root", "node"), ["root", "node"], "left_anti")
         )
         frontier = rounds.add(step.select("root", "node", F.lit(depth).alias("depth")))
-        if frontier.isEmpty():
+        if not rounds.rows:
             break
     return rounds.all()
 
@@ -84,7 +84,7 @@ def paths(
             cols.append(F.array_append("labels", F.col(label)).alias("labels"))
         step = frontier.join(links, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         frontier = rounds.add(step.select(*cols))
-        if frontier.isEmpty():
+        if not rounds.rows:
             break
     return rounds.all()
 
@@ -108,17 +108,17 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 
     Every cycle lives inside the core, so cycle work can start from it.
     """
-    core = _links(edges.where("src <> dst"))
-    size = core.count()
+    peeled = RoundTable(edges.sparkSession, "core")
+    core = peeled.add(edges.where("src <> dst").select("src", "dst").distinct())
+    size = peeled.rows
     while size:
         inner = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
             core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
         )
-        core = written(inner.select("src", "dst"), "core")
-        left = core.count()
-        if left == size:
+        core = peeled.add(inner.select("src", "dst"))
+        if peeled.rows == size:
             break
-        size = left
+        size = peeled.rows
     return core
 
 
@@ -144,8 +144,8 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     spark = edges.sparkSession
     core = cyclic_core(edges)
     loops = edges.where("src = dst").select(F.array("src", "dst").alias("cycle_path")).distinct()
-    rounds = RoundTable(spark, "cycles")
-    open_paths = written(core.where("dst > src").select(F.array("src", "dst").alias("path")), "open")
+    rounds, pending = RoundTable(spark, "cycles"), RoundTable(spark, "open")
+    open_paths = pending.add(core.where("dst > src").select(F.array("src", "dst").alias("path")))
     length = 2
     found = loops
     while max_len is None or length <= max_len:
@@ -153,13 +153,12 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
         step = grown.join(core, F.col("end") == F.col("src"))
         rounds.add(step.where("dst = start").select(F.array_append("path", F.col("dst")).alias("cycle_path")))
         found = loops.unionByName(rounds.all())
-        open_paths = written(
+        open_paths = pending.add(
             step.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select(
                 F.array_append("path", F.col("dst")).alias("path")
-            ),
-            "open",
+            )
         )
-        if open_paths.isEmpty():
+        if not pending.rows:
             break
         length += 1
     size = F.size("cycle_path")
@@ -232,7 +231,8 @@ def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "
     (ties by key) is released alone.
     """
     spark = nodes.sparkSession
-    todo = written(nodes, "nodes")
+    left = RoundTable(spark, "nodes")
+    todo = left.add(nodes)
     links = (
         edges.select("src", "dst")
         .where("src <> dst")
@@ -243,14 +243,14 @@ def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "
     links = written(links, "links")
     done = RoundTable(spark, "waves")
     wave = 0
-    while not todo.isEmpty():
+    numbered = lambda df: df.select(*nodes.columns, F.lit(wave).alias("wave"))
+    while left.rows:
         wave += 1
-        ready = todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti")
-        if ready.isEmpty():
-            ready = todo.orderBy(weight, key).limit(1)
-        got = done.add(ready.select(*nodes.columns, F.lit(wave).alias("wave")))
+        got = done.add(numbered(todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti")))
+        if not done.rows:
+            got = done.add(numbered(todo.orderBy(weight, key).limit(1)))
         out = got.select(key)
-        todo = written(todo.join(out, key, "left_anti"), "nodes")
+        todo = left.add(todo.join(out, key, "left_anti").select(*nodes.columns))
         links = written(
             links.join(out.withColumnRenamed(key, "src"), "src", "left_anti").join(
                 out.withColumnRenamed(key, "dst"), "dst", "left_anti"

@@ -87,6 +87,23 @@ def _epoch(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+# rows of one key that one task may be handed at once
+ROWS_PER_SLICE = 1_000_000
+
+
+def densest_rate(df: DataFrame, keys: list[str], ts: str) -> float:
+    """Rows per second of the key that has most of them; one aggregated row reaches the driver."""
+    us = _epoch(ts)
+    spans = df.groupBy(*keys).agg(F.count("*").alias("n"), ((F.max(us) - F.min(us)) / 1_000_000).alias("s"))
+    top = spans.agg(F.max(F.col("n") / F.greatest(F.col("s"), F.lit(1.0)))).first()[0]
+    return float(top or 0.0)
+
+
+def slice_width(df: DataFrame, keys: list[str], ts: str) -> int:
+    """Seconds per slice so that the densest key puts about ROWS_PER_SLICE rows in each."""
+    return max(1, int(ROWS_PER_SLICE / max(densest_rate(df, keys, ts), 1e-9)))
+
+
 def with_preceding(df: DataFrame, keys: list[str], order: list[str], n: int, slice_col: str) -> DataFrame:
     """Rows plus, per time slice, copies of the ``n`` rows before it (column ``_copy``).
 
@@ -108,12 +125,14 @@ def with_preceding(df: DataFrame, keys: list[str], order: list[str], n: int, sli
 
 
 def rolling(
-    df: DataFrame, keys: list[str], order: list[str], ts: str, n: int, aggs: dict[str, Column], slice_seconds: int = 86400
+    df: DataFrame, keys: list[str], order: list[str], ts: str, n: int, aggs: dict[str, Column], slice_seconds: int | None = None
 ) -> DataFrame:
     """Aggregates over the current and the ``n - 1`` rows before it, per key.
 
-    ``order`` starts with ``ts``. ``aggs`` maps names to aggregate columns.
+    ``order`` starts with ``ts``. ``aggs`` maps names to aggregate columns. The slice
+    length follows from the densest key unless given.
     """
+    slice_seconds = slice_seconds or slice_width(df, keys, ts)
     cut = df.withColumn("_slice", F.floor(_epoch(ts) / (slice_seconds * 1_000_000)))
     ready = with_preceding(cut, keys, order, n - 1, "_slice") if n > 1 else cut.withColumn("_copy", F.lit(False))
     frame = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(-(n - 1), 0)
@@ -126,12 +145,13 @@ def rolling_mean(df: DataFrame, keys: list[str], order: list[str], ts: str, valu
     return rolling(df, keys, order, ts, n, {"rolling_mean": F.avg(value)})
 
 
-def next_row(df: DataFrame, keys: list[str], order: list[str], ts: str, cols: dict[str, str], slice_seconds: int = 86400) -> DataFrame:
+def next_row(df: DataFrame, keys: list[str], order: list[str], ts: str, cols: dict[str, str], slice_seconds: int | None = None) -> DataFrame:
     """Columns of the following row per key, null on the last one.
 
     ``cols`` maps new names to source columns. Works like ``rolling`` in reverse time:
     each slice is handed the first row of the next slice that has any.
     """
+    slice_seconds = slice_seconds or slice_width(df, keys, ts)
     spec = F.struct(*order)
     cut = df.withColumn("_slice", F.floor(_epoch(ts) / (slice_seconds * 1_000_000)))
     firsts = cut.groupBy(*keys, "_slice").agg(F.min_by(F.struct(*df.columns), spec).alias("_row"))
@@ -145,16 +165,39 @@ def next_row(df: DataFrame, keys: list[str], order: list[str], ts: str, cols: di
     )
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "trailing_count") -> DataFrame:
+def trailing_count(df: DataFrame, keys: list[str], ts: str, seconds: int, name: str = "trailing_count", row_id: str = "event_id") -> DataFrame:
     """Rows of the same key in the ``seconds`` up to and including each row.
 
-    Slices are as long as the frame, so a row is needed in its own slice and the next.
     The frame is open at its far end: a row exactly ``seconds`` old no longer counts.
+    Slices are as long as the frame, so a row is needed in its own slice and the next.
+    Where a key packs too many rows into one frame, running counts over shorter slices
+    are subtracted instead; ``row_id`` tells the rows apart.
     """
     width = seconds * 1_000_000
+    rate = densest_rate(df, keys, ts)
+    if rate * seconds > ROWS_PER_SLICE:
+        return _dense_trailing_count(df, keys, ts, width, name, row_id, int(ROWS_PER_SLICE / rate * 1_000_000) + 1)
     at = df.withColumn("_us", _epoch(ts)).withColumn("_slice", F.floor(F.col("_us") / width))
     both = at.withColumn("_copy", F.lit(False)).unionByName(
         at.withColumn("_slice", F.col("_slice") + 1).withColumn("_copy", F.lit(True))
     )
     frame = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-(width - 1), 0)
     return both.withColumn(name, F.count("*").over(frame)).where("not _copy").drop("_copy", "_us", "_slice")
+
+
+def _dense_trailing_count(df: DataFrame, keys: list[str], ts: str, width: int, name: str, row_id: str, cut: int) -> DataFrame:
+    """Count up to each row minus count up to one frame before it.
+
+    A running count is the total of the slices before plus the count inside the slice,
+    so slices may be as short as the data asks for.
+    """
+    here = df.select(*keys, row_id, _epoch(ts).alias("_us"))
+    points = here.withColumn("_sign", F.lit(1)).unionByName(here.withColumn("_us", F.col("_us") - width).withColumn("_sign", F.lit(-1)))
+    points = points.withColumn("_slice", F.floor(F.col("_us") / cut))
+    rows = F.when(F.col("_sign") == 1, 1).otherwise(0)
+    totals = points.groupBy(*keys, "_slice").agg(F.sum(rows).alias("_n"))
+    before = totals.select(*keys, "_slice", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.sum(rows).over(Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0))
+    running = points.withColumn("_in", inside).join(before, [*keys, "_slice"])
+    counts = running.groupBy(row_id).agg(F.sum(F.col("_sign") * (F.col("_in") + F.col("_before"))).alias(name))
+    return df.join(counts, row_id).select(*df.columns, name)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "portolan") -> SparkSession:
@@ -53,11 +54,15 @@ class RoundTable:
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.rounds: list[str] = []
         self.schema = None
+        self.rows = 0
 
     def add(self, df: DataFrame) -> DataFrame:
         where = f"{self.path}/round{len(self.rounds):04d}"
         self.schema = self.schema or df.schema
-        df.write.parquet(where)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(where)
+        # counted while writing: exact for "none", which is all the loops ask
+        self.rows = seen.get.get("rows", 0)
         self.rounds.append(where)
         return self.spark.read.schema(self.schema).parquet(where)
 
@@ -70,6 +75,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return RoundTable(df.sparkSession, name).add(df)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by ``keys`` over all cores, also where the data is small.
+
+    For what costs much per row, such as Python work; a grouping by ``keys`` that
+    follows needs no other shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows

@@ -41,6 +41,22 @@ def test_trailing(series):
     same(rank.trailing_count(series, ["key"], "ts", 60, "c"), series.withColumn("c", F.count("*").over(w)), "c")
 
 
+def test_dense_trailing(series, monkeypatch):
+    """Frames that hold too many rows are cut into shorter slices."""
+    w = Window.partitionBy("key").orderBy(F.col("ts").cast("long")).rangeBetween(-1999, 0)
+    want = series.withColumn("c", F.count("*").over(w))
+    monkeypatch.setattr(rank, "ROWS_PER_SLICE", 20)
+    same(rank.trailing_count(series, ["key"], "ts", 2000, "c"), want, "c")
+
+
+def test_automatic_slices(series, monkeypatch):
+    monkeypatch.setattr(rank, "ROWS_PER_SLICE", 20)
+    assert 1 < rank.slice_width(series, ["key"], "ts") < 500
+    w = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(-4, 0)
+    got = rank.rolling(series, ["key"], ["ts", "event_id"], "ts", 5, {"s": F.sum("value")})
+    same(got, series.withColumn("s", F.sum("value").over(w)), "s")
+
+
 def test_with_rank(series):
     w = Window.partitionBy("key").orderBy("value", "event_id")
     got = rank.with_rank(series.repartition(7), ["key"], ["value", "event_id"])
