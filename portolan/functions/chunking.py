@@ -17,6 +17,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from portolan.functions.rules import BLOCK_WORDS
+from portolan.session import widen
 
 # output batches are handed on once they hold this much text
 FLUSH_CHARACTERS = 4_000_000
@@ -93,7 +94,7 @@ def _cut(files: DataFrame, content: str, keep: list[str], cuts: Callable[..., It
                     out, waiting = {name: [] for name in names}, 0
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return files.select(*dict.fromkeys([*keep, content])).mapInArrow(run, schema)
+    return widen(files.select(*dict.fromkeys([*keep, content]))).mapInArrow(run, schema)
 
 
 def line_chunks(files: DataFrame, content: str = "content", keep: list[str] = ("repository", "path"), size: int = 1000, overlap: int = 4) -> DataFrame:

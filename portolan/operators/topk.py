@@ -84,7 +84,8 @@ def blocked_topk(
         partial = rows.mapInPandas(run, schema)
     else:
         over = max(1, ceil(queries.count() / max_queries))
-        down = max(1, ceil(rows.count() / ROWS_PER_CELL))
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        down = max(1, ceil(rows.count() / ROWS_PER_CELL), ceil(cores / over))
         spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
         cell = lambda d, q: (d * over + q).alias("_cell")
         left = queries.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions import chunking, extract, rules, text, versions
 from portolan.queries.registry import query
+from portolan.session import widen
 
 
 def sql_list(words):
@@ -121,7 +122,7 @@ def chunk_domain_sql(name, content):
     SELECT id, CASE WHEN list_max(scores) >= 2 THEN {sql_list([d for d, _ in rules.CHUNK_DOMAINS])}[list_position(scores, list_max(scores))] END AS domain
     FROM s""")
 def _(t):
-    return t.source_files.select("id", text.classify_domain(F.col("path"), F.col("content")).alias("domain"))
+    return widen(t.source_files).select("id", text.classify_domain(F.col("path"), F.col("content")).alias("domain"))
 
 
 @query("document_domains", f"""
@@ -130,7 +131,7 @@ def _(t):
     SELECT doc_id, CASE WHEN list_max(scores) >= 2 THEN {sql_list([d for d, _ in rules.CHUNK_DOMAINS])}[list_position(scores, list_max(scores))] END AS domain
     FROM s""")
 def _(t):
-    return t.documents.select("doc_id", text.classify_domain(F.col("source"), F.col("text")).alias("domain"))
+    return widen(t.documents).select("doc_id", text.classify_domain(F.col("source"), F.col("text")).alias("domain"))
 
 
 REPO_NAMES = "concat(lower(p_type), CASE p_size % 9 WHEN 0 THEN '-billing-api' WHEN 1 THEN '-auth-web' WHEN 2 THEN '-user-service' WHEN 3 THEN '-metrics' ELSE '-core' END)"

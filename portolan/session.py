@@ -86,6 +86,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it comes from fewer files than there are cores.
+
+    For costly work per row on few input files; data in many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows

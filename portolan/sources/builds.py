@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions.extract import resolve_properties
+from portolan.session import widen
 
 _GAV = "groupId string, artifactId string, version string"
 _DEPENDENCY = (
@@ -70,7 +71,12 @@ def parse_poms(files: DataFrame, content: str = "content", path: str = "path") -
     Group and version come from the parent where missing. Files without all three
     coordinates are left out. ``effective`` holds own and built-in properties.
     """
-    p = files.select(path, F.from_xml(content, POM, {"rowTag": "project", "ignoreNamespace": "true"}).alias("p")).select(path, "p.*")
+    parsed = F.from_xml(content, POM, {"rowTag": "project", "ignoreNamespace": "true"})
+    whole = lambda x: (
+        F.coalesce(x["groupId"], x["parent"]["groupId"]).isNotNull() & x["artifactId"].isNotNull() & F.coalesce(x["version"], x["parent"]["version"]).isNotNull()
+    )
+    # tested inside the generator, so that no filter below it parses the text again
+    p = widen(files).select(path, F.explode(F.filter(F.array(parsed), whole)).alias("p")).select(path, "p.*")
     p = p.withColumns(
         {
             "group_id": F.coalesce("groupId", "parent.groupId"),
@@ -78,7 +84,7 @@ def parse_poms(files: DataFrame, content: str = "content", path: str = "path") -
             "kind": F.when(F.col("packaging").isin(PACKAGING), F.col("packaging")).otherwise("jar"),
             "properties": F.coalesce("properties", F.create_map().cast("map<string,string>")),
         }
-    ).where("group_id is not null and artifactId is not null and own_version is not null")
+    )
     own = F.col("properties")
     built = F.map_filter(_built_in(F.struct(*[F.col(c) for c in p.columns if c != path])), lambda k, _: ~F.map_contains_key(own, k))
     return p.select(
@@ -109,7 +115,8 @@ def pom_dependencies(poms: DataFrame, col: str = "dependencies") -> DataFrame:
 
 def parse_struts_config(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """One row per configuration file with action mappings, form beans and global forwards."""
-    s = files.select(path, F.from_xml(content, STRUTS, {"rowTag": "struts-config", "ignoreNamespace": "true"}).alias("s")).select(path, "s.*")
+    parsed = F.from_xml(content, STRUTS, {"rowTag": "struts-config", "ignoreNamespace": "true"})
+    s = widen(files).select(path, F.explode(F.array(parsed)).alias("s")).select(path, "s.*")
     text = lambda c, default="": F.coalesce(c, F.lit(default))
     forward = lambda f: F.struct(text(f["_name"]).alias("name"), text(f["_path"]).alias("path"), text(f["_redirect"], "false").alias("redirect"))
     action = lambda a: F.struct(
