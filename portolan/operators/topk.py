@@ -62,12 +62,14 @@ def blocked_topk(
     least: float | None = None,
     same: str | None = None,
     max_queries: int = MAX_QUERIES,
+    rows_per_cell: int | None = None,
 ) -> DataFrame:
     """Rows ``(query_id, id, score, rank)``: the ``k`` best rows per query.
 
     ``queries`` has ``query_id`` and ``rows`` has ``id``, next to what ``score`` needs.
     Rows scoring below ``least`` are left out, as are rows that agree with the query in
     the column ``same``. Scores are rounded to six digits before they are compared.
+    ``max_queries`` and ``rows_per_cell`` bound what one task holds of either side.
     """
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     schema = f"query_id {kind(queries, 'query_id')}, id {kind(rows, 'id')}, score double"
@@ -85,7 +87,7 @@ def blocked_topk(
     else:
         over = max(1, ceil(queries.count() / max_queries))
         cores = rows.sparkSession.sparkContext.defaultParallelism
-        down = max(1, ceil(rows.count() / ROWS_PER_CELL), ceil(cores / over))
+        down = max(1, ceil(rows.count() / (rows_per_cell or ROWS_PER_CELL)), ceil(cores / over))
         spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
         cell = lambda d, q: (d * over + q).alias("_cell")
         left = queries.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(

@@ -382,7 +382,14 @@ def _(t):
     return q.select("p_partkey", extract.extract_field_name(F.col("q")).alias("field"), extract.extract_context(F.col("q")).alias("context"))
 
 
-@query("user_question_fields")
+PHRASES = ", ".join(f"nullif(trim(regexp_extract(low, '(\\w+\\s+{w})', 1)), '')" for w in "amount field info type status date name number".split())
+
+
+@query("user_question_fields", f"""
+    WITH q AS (SELECT query_id, text, lower(text) AS low FROM questions)
+    SELECT query_id, coalesce(nullif(regexp_extract(text, '[''"]([^''"]+)[''"]', 1), ''), {PHRASES},
+           CASE WHEN contains(low, 'where does') THEN nullif(split_part(trim(regexp_replace(split_part(low, 'where does', 2), '\\s+', ' ', 'g')), ' ', 1), '') END, 'field') AS field,
+           {first_match('low', rules.QUESTION_CONTEXT, "''")} AS context FROM q""")
 def _(t):
     return t.questions.select("query_id", extract.extract_field_name(F.col("text")).alias("field"), extract.extract_context(F.col("text")).alias("context"))
 
