@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions import rules
-from portolan.functions.text import classify_first_match, struts_tag_purpose
+from portolan.functions.text import classify_first_match, let, struts_tag_purpose
 
 # patterns, fixed values -----------------------------------------------------------
 SCRIPTLET = r"(?s)<%\s*(.*?)\s*%>"
@@ -182,30 +182,25 @@ def sql_columns(sql: Column) -> Column:
 
 def extract_sql(files: DataFrame, content: str = "content") -> DataFrame:
     """Statements embedded in code, one row each, with line, type, tables and columns."""
+    c = F.col(content)
     per_pattern = F.array(
         *[
             F.transform(
-                F.arrays_zip(find_all(F.col(content), f"(?is){p}", 0), find_all(F.col(content), f"(?is){p}", 1)),
-                lambda m: F.struct(m["0"].alias("whole"), F.trim(m["1"]).alias("sql")),
+                F.arrays_zip(find_all(c, f"(?is){p}", 0), find_all(c, f"(?is){p}", 1)),
+                lambda m: F.struct(F.trim(m["1"]).alias("query_text"), line_of(c, m["0"]).alias("line_number")),
             )
             for p in EMBEDDED_SQL
         ]
     )
-    found = files.select("*", F.posexplode(per_pattern).alias("pattern", "_hits")).select("*", F.explode("_hits").alias("_h")).drop("_hits")
-    sql = F.col("_h.sql")
+    rest = [k for k in files.columns if k != content]
+    found = files.select(*rest, F.posexplode(per_pattern).alias("pattern", "_hits")).select(*rest, "pattern", F.explode("_hits").alias("_h"))
+    found = found.select(*rest, "pattern", "_h.*")
+    sql = F.col("query_text")
     verb = F.lit(False)
     for v in SQL_VERBS:
         verb = verb | F.upper(sql).contains(v)
     kept = found.where((F.length(sql) >= 20) & verb)
-    return kept.withColumns(
-        {
-            "query_text": sql,
-            "line_number": line_of(F.col(content), F.col("_h.whole")),
-            "query_type": sql_type(sql),
-            "tables": sql_tables(sql),
-            "columns": sql_columns(sql),
-        }
-    ).drop("_h")
+    return kept.withColumns({"query_type": sql_type(sql), "tables": sql_tables(sql), "columns": sql_columns(sql)})
 
 
 def endpoints(content: Column) -> Column:
@@ -274,11 +269,12 @@ def jsp_parts(files: DataFrame, content: str = "content") -> DataFrame:
     parts = F.concat(
         F.filter(numbered("scriptlet", SCRIPTLET), lambda p: F.trim(p["text"]) != ""), numbered("directive", DIRECTIVE), shown
     )
-    rows = files.select("*", F.posexplode(parts).alias("part", "_p")).select("*", "_p.*").drop("_p")
+    placed = F.transform(parts, lambda p: F.struct(p.alias("p"), line_of(c, p["text"]).alias("line")))
+    rest = [k for k in files.columns if k != content]
+    rows = files.select(*rest, F.posexplode(placed).alias("part", "_q")).select(*rest, "part", "_q.p.*", "_q.line")
     script = F.col("chunk_type") == "scriptlet"
     return rows.withColumns(
         {
-            "line": line_of(c, F.col("text")),
             "business_rules": F.when(script, validation_rules(F.col("text"))),
             "struts": F.when(script, struts_patterns(F.col("text"))),
             "migration_notes": F.when(script, jsp_migration_notes(F.col("text"))),
@@ -393,30 +389,33 @@ def definitions(files: DataFrame, content: str = "content") -> DataFrame:
 
     A definition ends before the next line that starts at its indent or less.
     """
-    lines = F.split(F.col(content), "\n", -1)
-    shaped = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("no"), x.alias("text"), (F.length(x) - F.length(F.ltrim(x))).alias("indent"), (F.trim(x) == "").alias("blank")
-        ),
-    )
-    kind = F.lit(None).cast("string")
-    name = F.lit(None).cast("string")
-    line = F.col("_l.text")
-    for label, pattern in reversed(DEFINITIONS):
-        hit = line.rlike(pattern)
-        kind = F.when(hit, label).otherwise(kind)
-        name = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(name)
-    rows = files.withColumn("_lines", shaped).select("*", F.explode("_lines").alias("_l"))
-    rows = rows.withColumns({"chunk_type": kind, "name": name}).where("chunk_type is not null")
-    later = F.filter(
-        F.col("_lines"),
-        lambda x: (x["no"] > F.col("_l.no")) & ~x["blank"] & (x["indent"] <= F.col("_l.indent")) & ~F.ltrim(x["text"]).rlike(r"^[})\]]"),
-    )
-    last = F.when(
-        F.col("chunk_type").isin("import", "variable"), F.col("_l.no")
-    ).otherwise(F.coalesce(F.get(later, 0)["no"] - 1, F.size("_lines") - 1))
-    return rows.withColumns({"start_line": F.col("_l.no"), "end_line": last}).drop("_lines", "_l", content)
+    def kind_and_name(line: Column) -> tuple[Column, Column]:
+        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for label, pattern in reversed(DEFINITIONS):
+            hit = line.rlike(pattern)
+            kind = F.when(hit, label).otherwise(kind)
+            name = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(name)
+        return kind, name
+
+    def shape(x: Column, i: Column) -> Column:
+        kind, name = kind_and_name(x)
+        return F.struct(
+            i.alias("no"), (F.length(x) - F.length(F.ltrim(x))).alias("indent"), (F.trim(x) == "").alias("blank"),
+            F.ltrim(x).rlike(r"^[})\]]").alias("closing"), kind.alias("kind"), name.alias("name"),
+        )
+
+    def located(lines: Column) -> Column:
+        def one(d: Column) -> Column:
+            later = F.filter(lines, lambda x: (x["no"] > d["no"]) & ~x["blank"] & ~x["closing"] & (x["indent"] <= d["indent"]))
+            end = F.when(d["kind"].isin("import", "variable"), d["no"]).otherwise(F.coalesce(F.get(later, 0)["no"] - 1, F.size(lines) - 1))
+            return F.struct(d["kind"].alias("chunk_type"), d["name"].alias("name"), d["no"].alias("start_line"), end.alias("end_line"))
+
+        return F.transform(F.filter(lines, lambda x: x["kind"].isNotNull()), one)
+
+    # all inside the file's row: only definitions become rows
+    found = let(F.transform(F.split(F.col(content), "\n", -1), shape), located)
+    rest = [c for c in files.columns if c != content]
+    return files.select(*rest, F.explode(found).alias("_d")).select(*rest, "_d.*")
 
 
 def code_edges(defs: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
