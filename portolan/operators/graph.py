@@ -193,16 +193,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(ids.withColumnRenamed("node", "src"), "src", "left_semi")
         .join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
     )
-    pairs = written(
-        inside.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars"
-    )
-
-    def fingerprint(df: DataFrame):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
-
-    mark = fingerprint(pairs)
-    while mark[0]:
+    stars = RoundTable(nodes.sparkSession, "stars")
+    # a round that changes nothing leaves count and digest as they were
+    digest = {"digest": F.bit_xor(F.xxhash64("u", "v")), "total": F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))}
+    pairs = stars.add(inside.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), **digest)
+    mark = stars.marks
+    while stars.rows:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -215,11 +211,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 )
             ).alias("p")
         )
-        pairs = written(small.select("p.u", "p.v").where("u <> v").distinct(), "stars")
-        now = fingerprint(pairs)
-        if now == mark:
+        pairs = stars.add(small.select("p.u", "p.v").where("u <> v").distinct(), **digest)
+        if stars.marks == mark:
             break
-        mark = now
+        mark = stars.marks
     named = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return ids.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

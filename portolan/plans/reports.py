@@ -1,7 +1,8 @@
 """F: reports over repositories, files, chunks, dependencies and batches.
 
 Every branch of a report is aggregated on its own before the branches are joined, so
-no branch multiplies the rows of another.
+no branch multiplies the rows of another. Weights, limits, levels and texts are fixed
+values: they must equal what portfolio users see today.
 """
 
 from __future__ import annotations

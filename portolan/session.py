@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,16 @@ class RoundTable:
         self.rounds: list[str] = []
         self.schema = None
         self.rows = 0
+        self.marks: dict = {}
 
-    def add(self, df: DataFrame) -> DataFrame:
+    def add(self, df: DataFrame, **marks: Column) -> DataFrame:
+        """Write a round; ``rows`` and the aggregates ``marks`` are taken while writing."""
         where = f"{self.path}/round{len(self.rounds):04d}"
         self.schema = self.schema or df.schema
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(where)
-        # counted while writing: exact for "none", which is all the loops ask
-        self.rows = seen.get.get("rows", 0)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in marks.items()]).write.parquet(where)
+        self.marks = dict(seen.get)
+        self.rows = self.marks.get("rows", 0)
         self.rounds.append(where)
         return self.spark.read.schema(self.schema).parquet(where)
 
