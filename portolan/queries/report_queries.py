@@ -346,14 +346,14 @@ def _(t):
 
 
 PATH_COUNT = """
-    hot AS (SELECT src, dst FROM layered_edges WHERE (src + dst) % 2 = 0),
+    hot AS (SELECT src, dst FROM layered_edges WHERE criticality IN ('high', 'critical')),
     trail(root, node, path) AS (SELECT src, dst, [src, dst] FROM hot UNION ALL SELECT root, e.dst, list_append(path, e.dst) FROM trail JOIN hot e ON node = e.src WHERE NOT list_contains(path, e.dst)),
     opn AS (SELECT path FROM trail JOIN hot e ON node = e.src WHERE NOT list_contains(path, e.dst)),
     cp AS (SELECT path, len(path) AS n FROM trail WHERE len(path) > 2 AND path NOT IN (SELECT path FROM opn) ORDER BY len(path) DESC, trail.path LIMIT 10)"""
 
 
 def hot_paths(t):
-    return graph.critical_paths(t.layered_edges.where((F.col("src") + F.col("dst")) % 2 == 0), 10)
+    return graph.critical_paths(t.layered_edges.where(F.col("criticality").isin("high", "critical")), 10)
 
 
 @query("plan_metrics", f"""

@@ -101,11 +101,11 @@ def _(t):
 
 
 @query("tracked_repositories", """
-    WITH a AS (SELECT source AS name, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chunks FROM documents GROUP BY 1), b AS (SELECT concat('src', doc_id) AS name, 7 AS files, 9 AS chunks FROM documents WHERE doc_id < 30)
+    WITH a AS (SELECT source AS name, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chunks FROM documents GROUP BY 1), b AS (SELECT source AS name, count(*) AS files, 9 * count(*) AS chunks FROM documents WHERE lang = 'en' GROUP BY 1)
     SELECT count(*) AS repositories, CAST(sum(files) AS BIGINT) AS files, CAST(sum(chunks) AS BIGINT) AS chunks FROM (SELECT * FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT * FROM b)""")
 def _(t):
     a = t.documents.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("chunks"))
-    b = t.documents.where("doc_id < 30").selectExpr("concat('src', doc_id) AS name", "7L AS files", "9L AS chunks")
+    b = t.documents.where("lang = 'en'").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("files"), (F.count("*") * 9).alias("chunks"))
     return stores.tracking_totals(stores.track_repository(a, b))
 
 

@@ -33,7 +33,7 @@ VIEWS = {
         WHERE src <> dst GROUP BY src, dst""",
     # the same links, all pointing from the higher to the lower repository: no cycles
     "layered_edges": """
-        SELECT greatest(src, dst) AS src, least(src, dst) AS dst, sum(weight) AS weight
+        SELECT greatest(src, dst) AS src, least(src, dst) AS dst, sum(weight) AS weight, min(criticality) AS criticality
         FROM repo_edges GROUP BY greatest(src, dst), least(src, dst)""",
     "artifacts": """
         SELECT p_partkey AS id, p_brand AS group_id, concat('a', p_partkey) AS artifact_id,
