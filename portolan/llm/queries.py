@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import decontaminate, exact, secrets, urls
+from portolan.llm import bpe, decontaminate, exact, secrets, simhash, toxicity, urls
+
+#: The ranks that op2 and the pipeline encode with.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +21,14 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digest(table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"), every_hash=True)
 
@@ -29,8 +41,13 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_exact_dedup, op5_decontamination, op7_url_filter)
+    f.__name__: f
+    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op7_url_filter, op10_toxicity)
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
