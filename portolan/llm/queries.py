@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, decontaminate, exact, pii, secrets, simhash, toxicity, urls
+from portolan.llm import bpe, decontaminate, exact, pii, secrets, simhash, suffixes, toxicity, urls
 
 #: The ranks that op2 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,10 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(table(spark, folder, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
@@ -51,7 +55,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op7_url_filter, op9_personal_data, op10_toxicity)
+    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op7_url_filter, op8_suffix_dedup, op9_personal_data, op10_toxicity)
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
