@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, decontaminate, exact, pii, secrets, simhash, suffixes, toxicity, urls
+from portolan.llm import bpe, decontaminate, exact, passages, pii, secrets, simhash, suffixes, toxicity, urls
 
 #: The ranks that op2 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.shared_passages(table(spark, folder, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op7_url_filter, op8_suffix_dedup, op9_personal_data, op10_toxicity)
+    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op6_shared_passages, op7_url_filter, op8_suffix_dedup, op9_personal_data, op10_toxicity)
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
