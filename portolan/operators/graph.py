@@ -8,6 +8,7 @@ anti-join is pre-aggregated on the map side.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,13 +220,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "weight") -> DataFrame:
+#: Links of one stuck group that a single task takes; larger groups go node by node through Spark.
+GROUP_LINKS = 1_000_000
+
+
+def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "weight", group_links: int = GROUP_LINKS) -> DataFrame:
     """Dependency waves, rows ``nodes + wave``.
 
-    A source waits for its targets. When only cycles are left, the lightest node
-    (ties by key) is released alone.
+    A source waits for its targets. What cycles hold up falls into connected groups, which do not wait for
+    each other: a group starts when all that it waits for outside is done, and whenever nothing in it
+    is free its lightest node (ties by key) is released alone. Free nodes take a round per
+    wave; each stuck group is worked through in one task, as long as it has at most ``group_links`` links.
     """
     spark = nodes.sparkSession
+    cols = nodes.columns
     left = RoundTable(spark, "nodes")
     todo = left.add(nodes)
     links = (
@@ -235,24 +243,92 @@ def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "
         .join(todo.select(F.col(key).alias("src")), "src", "left_semi")
         .join(todo.select(F.col(key).alias("dst")), "dst", "left_semi")
     )
-    links = written(links, "links")
+    every = links = written(links, "links")
     done = RoundTable(spark, "waves")
     wave = 0
-    numbered = lambda df: df.select(*nodes.columns, F.lit(wave).alias("wave"))
     while left.rows:
         wave += 1
-        got = done.add(numbered(todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti")))
+        got = done.add(todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti").select(*cols, F.lit(wave).alias("wave")))
         if not done.rows:
-            got = done.add(numbered(todo.orderBy(weight, key).limit(1)))
+            break
         out = got.select(key)
-        todo = left.add(todo.join(out, key, "left_anti").select(*nodes.columns))
+        todo = left.add(todo.join(out, key, "left_anti").select(*cols))
+        # what is done waits for nothing itself, so only links into it go
+        links = written(links.join(out.withColumnRenamed(key, "dst"), "dst", "left_anti").select("src", "dst"), "links")
+    if not left.rows:
+        return done.all()
+    part = written(components(todo.select(key), links), "stuck")
+    of = links.join(part.withColumnRenamed("node", "src"), "src").select("component", "src", "dst")
+    sizes = of.groupBy("component").agg(F.count("*").alias("n"))
+    waited = (
+        every.join(part.withColumnRenamed("node", "src"), "src")
+        .join(done.all().select(F.col(key).alias("dst"), "wave"), "dst")
+        .groupBy("component")
+        .agg(F.max("wave").alias("base"))
+    )
+    base = written(sizes.join(waited, "component", "left").na.fill(0, ["base"]), "groups")
+    members = todo.join(part.withColumnRenamed("node", key), key).join(base, "component")
+    kind = nodes.schema[key].dataType.simpleString()
+
+    def work(own: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+        order = wave_order(list(zip(own["key"], own["weight"], strict=True)), list(zip(inner["src"], inner["dst"], strict=True)))
+        return pd.DataFrame({"_key": list(order), "wave": [w + int(own["base"].iloc[0]) for w in order.values()]})
+
+    own = members.where(F.col("n") <= group_links).select("component", "base", F.col(key).alias("key"), F.col(weight).cast("double").alias("weight"))
+    inner = of.join(base.where(F.col("n") <= group_links), "component", "left_semi").select("component", "src", "dst")
+    own, inner = written(own, "members"), written(inner, "inner")
+    waved = own.groupBy("component").cogroup(inner.groupBy("component")).applyInPandas(work, f"_key {kind}, wave int")
+    done.add(todo.join(waved.withColumnRenamed("_key", key), key).select(*cols, "wave"))
+    large = base.where(F.col("n") > group_links)
+    if not large.isEmpty():
+        rest = members.join(large.select("component"), "component", "left_semi")
+        _stepwise(rest, of.join(large.select("component"), "component", "left_semi"), cols, key, weight, done)
+    return done.all()
+
+
+def wave_order(members: list[tuple], links: list[tuple]) -> dict:
+    """Waves of one group, counted from 1: free nodes together, else the lightest alone (no weight: lightest of all)."""
+    waiting = {k: 0 for k, _ in members}
+    before: dict = {k: [] for k in waiting}
+    for src, dst in links:
+        waiting[src] += 1
+        before[dst].append(src)
+    by_weight = sorted(members, key=lambda m: (m[1] is not None and m[1] == m[1], 0 if m[1] is None or m[1] != m[1] else m[1], m[0]))
+    light = iter([k for k, _ in by_weight])
+    free, order, wave = [k for k, n in waiting.items() if not n], {}, 0
+    while len(order) < len(waiting):
+        wave += 1
+        if not free:
+            free = [next(k for k in light if k not in order)]
+        out, free = free, []
+        for k in out:
+            order[k] = wave
+        for k in out:
+            for s in before[k]:
+                waiting[s] -= 1
+                if not waiting[s] and s not in order:
+                    free.append(s)
+    return order
+
+
+def _stepwise(members: DataFrame, links: DataFrame, cols: list[str], key: str, weight: str, done: RoundTable) -> None:
+    """The same for groups too large for a task: each round releases what is free, or each group's lightest."""
+    spark = members.sparkSession
+    left = RoundTable(spark, "large")
+    todo = left.add(members.select("component", "base", *cols))
+    links = written(links.select("component", "src", "dst"), "links")
+    step = 0
+    while left.rows:
+        step += 1
+        free = todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti")
+        stalled = todo.join(free.select("component").distinct(), "component", "left_anti")
+        lightest = stalled.groupBy("component").agg(F.min(F.struct(F.col(weight).isNotNull().alias("has"), weight, key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+        out = written(free.select(key).unionByName(lightest), "released")
+        done.add(todo.join(out, key, "left_semi").select(*cols, (F.col("base") + step).cast("int").alias("wave")))
+        todo = left.add(todo.join(out, key, "left_anti").select("component", "base", *cols))
         links = written(
-            links.join(out.withColumnRenamed(key, "src"), "src", "left_anti").join(
-                out.withColumnRenamed(key, "dst"), "dst", "left_anti"
-            ).select("src", "dst"),
-            "links",
+            links.join(out.withColumnRenamed(key, "src"), "src", "left_anti").join(out.withColumnRenamed(key, "dst"), "dst", "left_anti").select("component", "src", "dst"), "links"
         )
-    return done.all()
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, n: int | None = 10) -> DataFrame:

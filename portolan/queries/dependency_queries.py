@@ -45,10 +45,10 @@ def _(t):
 
 
 @query("included_dependencies", """
-    SELECT repo, artifact, ord FROM repo_artifacts WHERE NOT optional AND scope <> 'test' AND (repo, artifact) NOT IN (SELECT (src, dst) FROM dep_edges)
+    SELECT repo, artifact, ord FROM repo_artifacts WHERE NOT optional AND scope <> 'test' AND artifact NOT IN (SELECT dst FROM dep_edges WHERE optional)
     AND group_id NOT IN ('Brand#3')""")
 def _(t):
-    out = t.dep_edges.select(F.col("src").alias("repo"), F.col("dst").alias("artifact"))
+    out = t.dep_edges.where("optional").select(F.col("dst").alias("artifact")).distinct()
     kept = deps.include_dependencies(t.repo_artifacts, out)
     banned = t.part.where("p_brand = 'Brand#3'").select(F.col("p_brand").alias("group_id")).distinct()
     return deps.include_dependencies(kept, banned).select("repo", "artifact", "ord")
@@ -107,17 +107,20 @@ def _(t):
 
 @query("dependency_health", f"""
     WITH {CONFLICTS}, c AS (SELECT group_id, count(*) AS conflicts FROM conflicts GROUP BY 1),
-    v AS (SELECT p_brand AS group_id, count(*) AS vulnerabilities FROM vulnerabilities JOIN part ON artifact = p_partkey GROUP BY 1),
-    g AS (SELECT p_brand AS group_id, CAST(count(*) % 3 AS BIGINT) AS cycles FROM part GROUP BY 1),
-    s AS (SELECT group_id, coalesce(conflicts, 0) % 9 AS conflicts, cycles, coalesce(vulnerabilities, 0) AS vulnerabilities FROM g LEFT JOIN c USING (group_id) LEFT JOIN v USING (group_id)),
+    v AS (SELECT group_id, count(*) AS vulnerabilities FROM vulnerabilities JOIN artifacts ON artifact = id GROUP BY 1),
+    l AS (SELECT l_orderkey * 16 + min(l_linenumber) * 2 + 1 AS id FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey HAVING min(l_linenumber) < max(l_linenumber)),
+    y AS (SELECT group_id, count(*) AS cycles FROM l JOIN artifacts USING (id) GROUP BY 1),
+    s AS (SELECT group_id, coalesce(conflicts, 0) AS conflicts, coalesce(cycles, 0) AS cycles, coalesce(vulnerabilities, 0) AS vulnerabilities
+          FROM (SELECT DISTINCT group_id FROM artifacts) LEFT JOIN c USING (group_id) LEFT JOIN y USING (group_id) LEFT JOIN v USING (group_id)),
     h AS (SELECT *, greatest(100.0 - least(conflicts * 5, 50) - least(cycles * 10, 30) - least(vulnerabilities * 3, 20), 0) AS health FROM s)
     SELECT group_id, conflicts, cycles, vulnerabilities, CAST(health AS DOUBLE) AS health_score,
            CASE WHEN health >= 90 THEN 'A' WHEN health >= 80 THEN 'B' WHEN health >= 70 THEN 'C' WHEN health >= 60 THEN 'D' ELSE 'F' END AS grade FROM h""")
 def _(t):
-    c = deps.version_conflicts(t.repo_artifacts).groupBy("group_id").agg((F.count("*") % 9).alias("conflicts"))
-    v = t.vulnerabilities.join(t.artifacts.select(F.col("id").alias("artifact"), "group_id"), "artifact").groupBy("group_id").agg(F.count("*").alias("vulnerabilities"))
-    g = t.artifacts.groupBy("group_id").agg((F.count("*") % 3).alias("cycles"))
-    counts = g.join(c, "group_id", "left").join(v, "group_id", "left").na.fill(0)
+    of = lambda df, key: df.join(t.artifacts.select(F.col("id").alias(key), "group_id"), key).groupBy("group_id")
+    c = deps.version_conflicts(t.repo_artifacts).groupBy("group_id").agg(F.count("*").alias("conflicts"))
+    v = of(t.vulnerabilities, "artifact").agg(F.count("*").alias("vulnerabilities"))
+    y = of(graph.cycles(t.dep_edges).select(F.get("cycle_path", F.lit(0)).alias("node")), "node").agg(F.count("*").alias("cycles"))
+    counts = t.artifacts.select("group_id").distinct().join(c, "group_id", "left").join(y, "group_id", "left").join(v, "group_id", "left").na.fill(0)
     return deps.dependency_health(counts)
 
 
@@ -147,7 +150,7 @@ def _(t):
     WITH RECURSIVE {PATHS}, c AS (SELECT repo, group_id, artifact_id FROM repo_artifacts GROUP BY 1, 2, 3 HAVING count(DISTINCT version) > 0)
     SELECT 'frequent_conflict' AS type, concat(group_id, ':', artifact_id) AS subject, count(*) AS value FROM c GROUP BY group_id, artifact_id HAVING count(*) > 2
     UNION ALL SELECT 'deep_chain', CAST(node AS VARCHAR), len(path) - 1 FROM trail WHERE len(path) - 1 > 8
-    UNION ALL SELECT 'group_proliferation', p_brand, count(*) FROM part GROUP BY p_brand HAVING count(*) > 5""")
+    UNION ALL SELECT 'group_proliferation', group_id, count(*) FROM artifacts GROUP BY group_id HAVING count(*) > 5""")
 def _(t):
     per_repo = t.repo_artifacts.select("repo", *deps.GA).distinct()
     return deps.optimization_opportunities(per_repo, graph.paths(t.dep_edges), t.artifacts)
@@ -242,10 +245,10 @@ def _(t):
 
 
 @query("closure_conflicts", f"""
-    WITH RECURSIVE {CLOSURE}, c AS (SELECT root, p_brand AS group_id, p_type AS artifact_id, p_size FROM closure JOIN part ON node = p_partkey)
+    WITH RECURSIVE {CLOSURE}, c AS (SELECT root, p_brand AS group_id, p_type AS artifact_id, p_size FROM closure JOIN artifacts ON node = id JOIN part ON part = p_partkey)
     SELECT root, group_id, artifact_id, count(DISTINCT p_size) AS version_count FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT p_size) > 1""")
 def _(t):
-    c = t.part.selectExpr("p_partkey AS node", "p_brand AS group_id", "p_type AS artifact_id", "p_size AS version")
+    c = t.sql("SELECT id AS node, p_brand AS group_id, p_type AS artifact_id, p_size AS version FROM artifacts JOIN part ON part = p_partkey")
     return deps.closure_conflicts(graph.reach(t.dep_edges), c)
 
 

@@ -123,14 +123,14 @@ def _(t):
 
 
 @query("orphan_functions", """
-    SELECT id FROM components WHERE kind = 'action' AND id NOT IN (SELECT dst FROM dep_edges)""")
+    SELECT id FROM components WHERE kind = 'action' AND id NOT IN (SELECT dst FROM part_edges)""")
 def _(t):
-    return filters.orphan_functions(t.components.where("kind = 'action'").select("id"), t.dep_edges)
+    return filters.orphan_functions(t.components.where("kind = 'action'").select("id"), t.part_edges)
 
 
-@query("empty_classes", "SELECT id FROM components WHERE kind = 'class' AND id NOT IN (SELECT src FROM dep_edges)")
+@query("empty_classes", "SELECT id FROM components WHERE kind = 'class' AND id NOT IN (SELECT src FROM part_edges)")
 def _(t):
-    return filters.empty_classes(t.components.where("kind = 'class'").select("id"), t.dep_edges)
+    return filters.empty_classes(t.components.where("kind = 'class'").select("id"), t.part_edges)
 
 
 @query("invalid_urls", "SELECT page_id FROM pages WHERE NOT regexp_matches(replace(url, 'http://m.', 'ftp://'), '^https?://')")

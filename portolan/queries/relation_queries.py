@@ -61,25 +61,25 @@ def nodes(t):
 SUBGRAPH = """
     WITH RECURSIVE w(id, depth) AS (
         SELECT id, 0 FROM components WHERE repo = 7
-        UNION SELECT dst, depth + 1 FROM w JOIN dep_edges ON id = src WHERE depth < 2),
+        UNION SELECT dst, depth + 1 FROM w JOIN part_edges ON id = src WHERE depth < 2),
     m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
     d AS (SELECT id, depth, CASE kind WHEN 'file' THEN 'File' WHEN 'class' THEN 'Class' ELSE 'Unknown' END AS label FROM m JOIN components USING (id) ORDER BY depth, id LIMIT 300)"""
 
 
 @query("subgraph_nodes", f"{SUBGRAPH} SELECT id, depth, label FROM d")
 def _(t):
-    return rel.subgraph(nodes(t), t.dep_edges, 7).select("id", "depth", "label")
+    return rel.subgraph(nodes(t), t.part_edges, 7).select("id", "depth", "label")
 
 
-@query("subgraph_edges", f"{SUBGRAPH} SELECT DISTINCT src, dst FROM dep_edges WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d) ORDER BY 1, 2 LIMIT 800")
+@query("subgraph_edges", f"{SUBGRAPH} SELECT DISTINCT src, dst FROM part_edges WHERE src IN (SELECT id FROM d) AND dst IN (SELECT id FROM d) ORDER BY 1, 2 LIMIT 800")
 def _(t):
-    return rel.inner_edges(t.dep_edges, rel.subgraph(nodes(t), t.dep_edges, 7))
+    return rel.inner_edges(t.part_edges, rel.subgraph(nodes(t), t.part_edges, 7))
 
 
 @query("incident_edges", """
-    SELECT DISTINCT src, dst FROM dep_edges WHERE src IN (SELECT id FROM components WHERE repo = 7) OR dst IN (SELECT id FROM components WHERE repo = 7) ORDER BY 1, 2 LIMIT 200""")
+    SELECT DISTINCT src, dst FROM part_edges WHERE src IN (SELECT id FROM components WHERE repo = 7) OR dst IN (SELECT id FROM components WHERE repo = 7) ORDER BY 1, 2 LIMIT 200""")
 def _(t):
-    return rel.incident_edges(nodes(t), t.dep_edges, 7)
+    return rel.incident_edges(nodes(t), t.part_edges, 7)
 
 
 @query("member_nodes", "SELECT id, kind FROM components WHERE repo = 7 ORDER BY id LIMIT 100")
@@ -110,24 +110,24 @@ def _(t):
 
 @query("cross_repo_rule_edges", """
     SELECT src, dst, a.repo AS source_repo, b.repo AS target_repo, concat('Cross-domain: ', a.domain, ' -> ', b.domain) AS business_context
-    FROM dep_edges JOIN components a ON src = a.id JOIN components b ON dst = b.id WHERE a.kind = 'rule' AND b.kind = 'rule' AND a.repo <> b.repo""")
+    FROM part_edges JOIN components a ON src = a.id JOIN components b ON dst = b.id WHERE a.kind = 'rule' AND b.kind = 'rule' AND a.repo <> b.repo""")
 def _(t):
-    return rel.cross_repo_rule_edges(t.components, t.dep_edges).select("src", "dst", "source_repo", "target_repo", "business_context")
+    return rel.cross_repo_rule_edges(t.components, t.part_edges).select("src", "dst", "source_repo", "target_repo", "business_context")
 
 
 @query("cross_repo_calls", """
     SELECT src, dst, a.repo AS source_repo, b.repo AS target_repo, a.name AS action, b.name AS interface
-    FROM dep_edges JOIN components a ON src = a.id JOIN components b ON dst = b.id
+    FROM part_edges JOIN components a ON src = a.id JOIN components b ON dst = b.id
     WHERE a.kind = 'action' AND b.kind = 'corba' AND a.repo <> b.repo AND a.repo IN (SELECT repo FROM repositories) AND b.repo IN (SELECT repo FROM repositories)""")
 def _(t):
-    return rel.cross_repo_calls(t.components, t.dep_edges, t.repositories.select("repo"))
+    return rel.cross_repo_calls(t.components, t.part_edges, t.repositories.select("repo"))
 
 
 @query("multi_domain_rules", """
-    SELECT a.id, a.name, count(DISTINCT b.domain) AS domain_count FROM components a JOIN dep_edges ON a.id = src JOIN components b ON b.id = dst
+    SELECT a.id, a.name, count(DISTINCT b.domain) AS domain_count FROM components a JOIN part_edges ON a.id = src JOIN components b ON b.id = dst
     WHERE a.kind = 'rule' GROUP BY 1, 2 HAVING count(DISTINCT b.domain) > 1""")
 def _(t):
-    return rel.multi_domain_rules(t.components.where("kind = 'rule'"), t.dep_edges, t.components)
+    return rel.multi_domain_rules(t.components.where("kind = 'rule'"), t.part_edges, t.components)
 
 
 @query("service_complexity", """
@@ -213,11 +213,11 @@ def _(t):
 
 
 @query("view_lineage", """
-    WITH v AS (SELECT concat('V', src) AS view, CASE dst % 3 WHEN 0 THEN concat('V', dst) ELSE concat('a', dst) END AS base FROM dep_edges)
+    WITH v AS (SELECT concat('V', src) AS view, CASE dst % 3 WHEN 0 THEN concat('V', dst) ELSE concat('a', dst) END AS base FROM part_edges)
     SELECT DISTINCT view AS src, base AS dst, 'table' AS dst_type FROM v WHERE base IN (SELECT artifact_id FROM artifacts)
     UNION SELECT view, base, 'view' FROM v WHERE base IN (SELECT view FROM v)""")
 def _(t):
-    v = t.dep_edges.selectExpr("concat('V', src) AS view", "CASE dst % 3 WHEN 0 THEN concat('V', dst) ELSE concat('a', dst) END AS base")
+    v = t.part_edges.selectExpr("concat('V', src) AS view", "CASE dst % 3 WHEN 0 THEN concat('V', dst) ELSE concat('a', dst) END AS base")
     views = v.select("view", F.array("base").alias("derives_from"))
     return rel.view_lineage(views, t.artifacts.select(F.col("artifact_id").alias("table_name")))
 

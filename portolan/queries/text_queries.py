@@ -90,13 +90,13 @@ def _(t):
 
 
 @query("name_similarity", """
-    WITH p AS (SELECT src, dst, a.p_name AS x, b.p_name AS y FROM dep_edges JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey)
+    WITH p AS (SELECT src, dst, a.p_name AS x, b.p_name AS y FROM part_edges JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey)
     SELECT src, dst, round(CASE WHEN x = y THEN 1 ELSE
            len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i))) / greatest(length(x), length(y)) END, 6) AS similarity
     FROM p""")
 def _(t):
     n = t.part.select("p_partkey", "p_name")
-    e = t.dep_edges.join(n.toDF("src", "x"), "src").join(n.toDF("dst", "y"), "dst")
+    e = t.part_edges.join(n.toDF("src", "x"), "src").join(n.toDF("dst", "y"), "dst")
     return e.select("src", "dst", F.round(text.prefix_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 

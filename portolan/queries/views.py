@@ -1,7 +1,9 @@
 """Portfolio tables bound to the given test tables.
 
 Every view is one SQL text both Spark and DuckDB run, so a query and its check read
-the same rows. All of them read whole tables and need no shuffle beyond a distinct.
+the same rows. Every row of the tables a view names contributes; tests/test_views.py counts them. Graphs
+are kept tame by their structure: closures and paths stay within an order, cycles of repositories
+within a block of five.
 """
 
 from __future__ import annotations
@@ -16,29 +18,45 @@ BASE = (
 ).split()
 
 VIEWS = {
-    # graph of artifacts: each low-quantity order line links its part to another one
+    # graph of artifacts: every order line leads to the next line of its order, the last one to its part, or back
+    # to the first line in every fifth order; lines have odd ids, parts even ones
     "dep_edges": """
         SELECT DISTINCT src, dst,
                CASE (src + dst) % 4 WHEN 0 THEN 'runtime' WHEN 1 THEN 'test' ELSE 'compile' END AS scope,
                (src + dst) % 9 = 0 AS optional
-        FROM (SELECT l_partkey AS src, (l_partkey * 7 + l_orderkey) % (SELECT count(*) FROM part) AS dst
-              FROM lineitem WHERE l_quantity = 1) e
-        WHERE src <> dst""",
+        FROM (SELECT l_orderkey * 16 + l_linenumber * 2 + 1 AS src,
+                     CASE WHEN next_line IS NOT NULL THEN l_orderkey * 16 + next_line * 2 + 1
+                          WHEN l_orderkey % 5 = 0 AND first_line < l_linenumber THEN l_orderkey * 16 + first_line * 2 + 1
+                          ELSE l_partkey * 2 END AS dst
+              FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first_line,
+                           min(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
+                                                   RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_line
+                    FROM lineitem) o) e""",
+    # graph of parts: every order line links its part to another one; multiples of 7 have no way out, those that
+    # leave 3 no way in
+    "part_edges": """
+        SELECT DISTINCT src, CASE WHEN src = dst THEN src - src % 7 ELSE dst END AS dst
+        FROM (SELECT CASE WHEN a % 7 > 0 THEN a WHEN b % 7 > 0 THEN b WHEN b > 0 THEN b - 1 ELSE 1 END AS src,
+                     CASE WHEN a % 7 = 0 THEN a WHEN b % 7 = 3 THEN b - 1 ELSE b END AS dst
+              FROM (SELECT l_partkey AS a, (l_partkey * 7 + l_orderkey) % (SELECT count(*) FROM part) AS b FROM lineitem) p) e""",
+    # graph of repositories: every order line links its supplier to one of the first four of its block of five
     "repo_edges": """
         SELECT src, dst, count(*) AS weight,
                CASE (src + dst) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS criticality,
                CASE (src + dst) % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'IMPORTS' ELSE 'DEPENDS_ON' END AS dependency_type
-        FROM (SELECT l_suppkey AS src, (l_suppkey * 7 + l_orderkey) % (SELECT count(*) FROM supplier) AS dst
-              FROM lineitem WHERE l_quantity = 1 AND l_tax = 0 AND l_discount < 0.05) e
-        WHERE src <> dst GROUP BY src, dst""",
+        FROM (SELECT l_suppkey AS src, l_suppkey - l_suppkey % 5 + CASE WHEN l_suppkey % 5 = l_orderkey % 4 THEN (l_orderkey + 1) % 4 ELSE l_orderkey % 4 END AS dst
+              FROM lineitem) e
+        GROUP BY src, dst""",
     # the same links, all pointing from the higher to the lower repository: no cycles
     "layered_edges": """
         SELECT greatest(src, dst) AS src, least(src, dst) AS dst, sum(weight) AS weight, min(criticality) AS criticality
         FROM repo_edges GROUP BY greatest(src, dst), least(src, dst)""",
     "artifacts": """
-        SELECT p_partkey AS id, p_brand AS group_id, concat('a', p_partkey) AS artifact_id,
-               concat(p_brand, ':a', p_partkey) AS coordinates, p_name AS description
-        FROM part""",
+        SELECT id, p_brand AS group_id, artifact_id, concat(p_brand, ':', artifact_id) AS coordinates, p_name AS description, p_partkey AS part
+        FROM (SELECT p_partkey * 2 AS id, concat('a', p_partkey) AS artifact_id, p_partkey AS own FROM part
+              UNION ALL
+              SELECT l_orderkey * 16 + l_linenumber * 2 + 1, concat('o', l_orderkey, 'l', l_linenumber), min(l_partkey)
+              FROM lineitem GROUP BY l_orderkey, l_linenumber) x JOIN part ON own = p_partkey""",
     "repositories": """
         SELECT s_suppkey AS repo, s_name AS name, concat('team', s_nationkey) AS team_owner, r_name AS domain,
                CASE s_suppkey % 4 WHEN 0 THEN 'struts' WHEN 1 THEN 'spring' WHEN 2 THEN 'jsp' ELSE 'corba' END AS framework,
@@ -49,20 +67,21 @@ VIEWS = {
                s_nationkey AS nation, s_acctbal AS balance
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "repo_artifacts": """
-        SELECT l_suppkey AS repo, p_brand AS group_id, concat('a', l_partkey) AS artifact_id, l_partkey AS artifact,
+        SELECT l_suppkey AS repo, p_brand AS group_id, concat('a', l_partkey) AS artifact_id,
+               l_orderkey * 16 + l_linenumber * 2 + 1 AS artifact,
                concat(l_linenumber, '.', CAST(round(l_discount * 100) AS INT) % 3, '.0') AS version,
                CASE l_returnflag WHEN 'R' THEN 'test' WHEN 'N' THEN 'runtime' ELSE 'compile' END AS scope,
                l_linenumber AS depth, l_tax > 0.07 AS optional, l_linestatus = 'F' AS managed, l_orderkey AS ord
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 2""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "vulnerabilities": """
-        SELECT p_partkey AS artifact, concat('CVE-', p_partkey) AS cve_id,
+        SELECT id AS artifact, concat('CVE-', p_partkey) AS cve_id,
                CASE WHEN p_size >= 50 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, p_size / CAST(5 AS DOUBLE) AS score
-        FROM part WHERE p_size >= 48""",
+        FROM artifacts JOIN part ON part = p_partkey WHERE p_size >= 48""",
     "licenses": """
-        SELECT p_partkey AS artifact,
-               CASE CAST(replace(p_brand, 'Brand#', '') AS INT) % 3
+        SELECT id AS artifact,
+               CASE CAST(replace(group_id, 'Brand#', '') AS INT) % 3
                     WHEN 0 THEN 'Apache-2.0' WHEN 1 THEN 'MIT' ELSE 'GPL-3.0' END AS license
-        FROM part""",
+        FROM artifacts""",
     "components": """
         SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) AS repo,
                CASE p_type WHEN 'ECONOMY' THEN 'rule' WHEN 'LARGE' THEN 'action' WHEN 'MEDIUM' THEN 'corba'
@@ -87,10 +106,10 @@ VIEWS = {
                concat(source, '/', doc_id % 20, '.txt') AS file_path, doc_id AS chunk_index, n_chars AS size
         FROM documents""",
     "chunk_edges": """
-        SELECT DISTINCT src % (SELECT count(*) FROM documents) AS src, dst % (SELECT count(*) FROM documents) AS dst,
-               CASE src % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'INHERITS' ELSE 'DEPENDS_ON' END AS rel_type
-        FROM dep_edges
-        WHERE src % (SELECT count(*) FROM documents) <> dst % (SELECT count(*) FROM documents)""",
+        SELECT DISTINCT src, CASE WHEN src = dst THEN (dst + 1) % (SELECT count(*) FROM documents) ELSE dst END AS dst, rel_type
+        FROM (SELECT src % (SELECT count(*) FROM documents) AS src, dst % (SELECT count(*) FROM documents) AS dst,
+                     CASE src % 3 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'INHERITS' ELSE 'DEPENDS_ON' END AS rel_type
+              FROM part_edges) e""",
     "vectors": "SELECT vec_id AS id, embedding AS vector, label AS domain FROM embeddings",
     "questions": "SELECT concat(conv_id, ':', turn) AS query_id, text FROM conversations WHERE role = 'user'",
     "task_events": """

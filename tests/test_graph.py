@@ -55,6 +55,44 @@ def test_stalled_wave_releases_the_lightest(spark):
     assert got == {"r2": 1, "r1": 2}
 
 
+def reference_waves(weights, pairs):
+    """Round by round over all nodes: the free ones, else the lightest alone."""
+    left, wave, out = dict(weights), 0, {}
+    while left:
+        wave += 1
+        free = [n for n in left if not any(a == n and b in left and a != b for a, b in pairs)] or [min(left, key=lambda n: (left[n], n))]
+        for n in free:
+            out[n] = wave
+            del left[n]
+    return out
+
+
+def test_waves_of_one_group_follow_the_rule(spark, monkeypatch):
+    r = random.Random(4)
+    for n, density in ((12, 0.9), (15, 0.2), (20, 0.12)):
+        weights = {i: float(r.randrange(5)) for i in range(n)}
+        ring = [(i, (i + 1) % n) for i in range(n)]
+        pairs = ring + [(a, b) for a in range(n) for b in range(n) if a != b and r.random() < density]
+        nodes = spark.createDataFrame(list(weights.items()), "node int, weight double")
+        e = spark.createDataFrame(pairs, "src int, dst int")
+        want = reference_waves(weights, pairs)
+        assert {x.node: x.wave for x in graph.waves(nodes, e).collect()} == want
+        if n == 12:
+            assert {x.node: x.wave for x in graph.waves(nodes, e, group_links=0).collect()} == want
+
+
+def test_large_clique_takes_few_rounds(spark, monkeypatch):
+    made = []
+    add = graph.RoundTable.add
+    monkeypatch.setattr(graph.RoundTable, "add", lambda self, *a, **b: made.append(1) or add(self, *a, **b))
+    n = 200
+    nodes = spark.createDataFrame([(i, float(n - i)) for i in range(n)], "node int, weight double")
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a != b], "src int, dst int")
+    got = {x.node: x.wave for x in graph.waves(nodes, e).collect()}
+    assert got == {i: n - i for i in range(n)}
+    assert len(made) <= 12
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "node string")
     assert rows(graph.components(nodes, edges(spark, [("r1", "r2")]))) == [("r1", "r1"), ("r2", "r1"), ("r3", "r3")]
@@ -117,12 +155,10 @@ def test_migration_waves_with_cycles(spark, tables):
     got = {r.repo: r.wave for r in load()[0]["migration_waves_with_cycles"](tables).collect()}
     weight = {r.repo: r.complexity for r in tables.repositories.collect()}
     links = {(r.src, r.dst) for r in tables.repo_edges.collect()}
-    left, wave, want = set(weight), 0, {}
-    while left:
-        wave += 1
-        ready = [r for r in left if not any((r, d) in links for d in left if d != r)] or [min(left, key=lambda r: (weight[r], r))]
-        want.update(dict.fromkeys(ready, wave))
-        left -= set(ready)
+    want = {}
+    for block in {r // 5 for r in weight}:
+        own = {r: w for r, w in weight.items() if r // 5 == block}
+        want |= reference_waves(own, [(a, b) for a, b in links if a in own])
     assert got == want
 
 
