@@ -6,6 +6,7 @@ Arrow batches; files are spread over all tasks. Whole files are cut, never a pre
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -56,11 +57,11 @@ def semantic_cuts(text: str, size: int = 1000, least: int = 100) -> Iterator[tup
 
 def block_cuts(text: str, language: str = "python") -> Iterator[tuple[int, int, str]]:
     """Pieces that start at a line opening with a block word."""
-    words = tuple(BLOCK_WORDS.get(language, BLOCK_WORDS["python"]))
+    words = re.compile(r"\s*(?:" + "|".join(BLOCK_WORDS.get(language, BLOCK_WORDS["python"])) + r")\b")
     lines = text.split("\n")
     start = 0
     for no, line in enumerate(lines):
-        if no > start and line.strip().startswith(words):
+        if no > start and words.match(line):
             yield start, no - 1, "\n".join(lines[start:no])
             start = no
     yield start, len(lines) - 1, "\n".join(lines[start:])

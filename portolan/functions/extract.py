@@ -13,7 +13,7 @@ from portolan.functions import rules
 from portolan.functions.text import classify_first_match, let, struts_tag_purpose
 
 # patterns, fixed values -----------------------------------------------------------
-SCRIPTLET = r"(?s)<%\s*(.*?)\s*%>"
+SCRIPTLET = r"(?s)<%(?!@|--)\s*(.*?)\s*%>"
 DIRECTIVE = r"(?s)<%@\s*(.*?)\s*%>"
 STRUTS_TAG = r"(?i)<(html|bean|logic|nested):(\w+)([^>]*)>"
 STRUTS_TAG_NAME = r"<(html|bean|logic|nested):(\w+)"
@@ -42,7 +42,7 @@ BUSINESS_CALLS = [
     r"if\s*\([^)]*\.equals\s*\(", r"throw\s+new\s+\w+Exception",
 ]
 PLSQL_RULES = [
-    r"(?im)IF\s+([^THEN]+)\s+THEN", r"(?im)CHECK\s*\(\s*([^)]+)\s*\)", r"(?im)WHEN\s+([^THEN]+)\s+THEN",
+    r"(?is)\b(?:ELS)?IF\s+(.+?)\s+THEN\b", r"(?im)CHECK\s*\(\s*([^)]+)\s*\)", r"(?is)\bWHEN\s+(.+?)\s+THEN\b",
     r"""(?im)RAISE_APPLICATION_ERROR\s*\(\s*-?\d+\s*,\s*['"]([^'"]+)['"]""",
 ]
 EMBEDDED_SQL = [
@@ -96,11 +96,19 @@ def named_groups(col: Column, pattern: str, names: list[str]) -> Column:
     return F.transform(z, lambda s: F.struct(*[s[str(i)].alias(n) for i, n in enumerate(names)]))
 
 
-def line_of(content: Column, needle: Column) -> Column:
-    """Zero-based line of the first occurrence, -1 when there is none."""
-    at = F.call_function("locate", needle, content)
-    head = F.substr(content, F.lit(1), at - 1)
-    return F.when(at > 0, F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))).otherwise(-1)
+def match_lines(content: Column, pattern: str) -> Column:
+    """Zero-based line of every match, aligned with `find_all`; no match may be empty.
+
+    Running counts of line ends over the matches and what lies between them.
+    """
+    ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    gaps = F.split(content, pattern, -1)
+    both = F.transform(find_all(content, pattern, 0), lambda m, i: F.struct(ends(F.get(gaps, i)).alias("gap"), ends(m).alias("own")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("lines"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["lines"], acc["at"] + x["gap"]).alias("lines")
+    )
+    return F.aggregate(both, start, step)["lines"]
 
 
 def validation_rules(code: Column) -> Column:
@@ -186,8 +194,8 @@ def extract_sql(files: DataFrame, content: str = "content") -> DataFrame:
     per_pattern = F.array(
         *[
             F.transform(
-                F.arrays_zip(find_all(c, f"(?is){p}", 0), find_all(c, f"(?is){p}", 1)),
-                lambda m: F.struct(F.trim(m["1"]).alias("query_text"), line_of(c, m["0"]).alias("line_number")),
+                F.arrays_zip(match_lines(c, f"(?is){p}"), find_all(c, f"(?is){p}", 1)),
+                lambda m: F.struct(F.trim(m["1"]).alias("query_text"), m["lines"].alias("line_number")),
             )
             for p in EMBEDDED_SQL
         ]
@@ -249,29 +257,30 @@ def column_patterns(field: Column) -> Column:
 def jsp_parts(files: DataFrame, content: str = "content") -> DataFrame:
     """Scriptlets, directives and Struts tags of a page, one row each."""
     c = F.col(content)
-    tags = named_groups(c, STRUTS_TAG, ["ns", "tag", "attrs"])
-    part = lambda kind, name, text, purpose: F.struct(
-        F.lit(kind).alias("chunk_type"), name.alias("name"), text.alias("text"), purpose.alias("business_purpose")
+    tags = F.arrays_zip(named_groups(c, STRUTS_TAG, ["ns", "tag", "attrs"]), match_lines(c, STRUTS_TAG))
+    part = lambda kind, name, text, purpose, line: F.struct(
+        F.lit(kind).alias("chunk_type"), name.alias("name"), text.alias("text"), purpose.alias("business_purpose"), line.alias("line")
     )
     none = F.lit(None).cast("string")
     numbered = lambda kind, pattern: F.transform(
-        find_all(c, pattern), lambda s, i: part(kind, F.concat(F.lit(kind + "_"), i.cast("string")), s, none)
+        F.arrays_zip(find_all(c, pattern), match_lines(c, pattern)),
+        lambda m, i: part(kind, F.concat(F.lit(kind + "_"), i.cast("string")), m["0"], none, m["lines"]),
     )
     shown = F.transform(
         tags,
-        lambda t: part(
+        lambda m: part(
             "struts_tag",
-            F.concat_ws("_", t["ns"], t["tag"]),
-            F.concat(F.lit("<"), t["ns"], F.lit(":"), t["tag"], t["attrs"], F.lit(">")),
-            struts_tag_purpose(t["ns"], t["tag"]),
+            F.concat_ws("_", m["0"]["ns"], m["0"]["tag"]),
+            F.concat(F.lit("<"), m["0"]["ns"], F.lit(":"), m["0"]["tag"], m["0"]["attrs"], F.lit(">")),
+            struts_tag_purpose(m["0"]["ns"], m["0"]["tag"]),
+            m["lines"],
         ),
     )
     parts = F.concat(
         F.filter(numbered("scriptlet", SCRIPTLET), lambda p: F.trim(p["text"]) != ""), numbered("directive", DIRECTIVE), shown
     )
-    placed = F.transform(parts, lambda p: F.struct(p.alias("p"), line_of(c, p["text"]).alias("line")))
     rest = [k for k in files.columns if k != content]
-    rows = files.select(*rest, F.posexplode(placed).alias("part", "_q")).select(*rest, "part", "_q.p.*", "_q.line")
+    rows = files.select(*rest, F.posexplode(parts).alias("part", "_q")).select(*rest, "part", "_q.*")
     script = F.col("chunk_type") == "scriptlet"
     return rows.withColumns(
         {
@@ -419,26 +428,30 @@ def definitions(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def code_edges(defs: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Calls, inheritance and imports as edges ``(src, dst, rel_type, line)``.
+    """Calls, inheritance and imports as edges ``([repository,] path, src, dst, rel_type, line)``.
 
-    A call belongs to the innermost function whose lines hold it, or to the file.
+    A call belongs to the innermost function of its own file whose lines hold it, or to the file.
+    Paths may recur in several repositories; ``repository`` is carried along where there is one.
     """
-    lines = files.select(path, F.posexplode(F.split(content, "\n", -1)).alias("line", "text"))
+    file = [k for k in ("repository", path) if k in files.columns]
+    lines = files.select(*file, F.posexplode(F.split(content, "\n", -1)).alias("line", "text"))
     called = F.array_except(
         find_all(F.col("text"), r"\b([A-Za-z_]\w*)\s*\("),
         F.array(*[F.lit(w) for w in "if for while switch catch return def function func fn class print super elif with".split()]),
     )
     declared = F.regexp_extract("text", r"(?:def|function|func|fn)\s+(\w+)", 1)
-    calls = lines.select(path, "line", F.explode(called).alias("name"), declared.alias("_d")).where("name <> _d")
-    funcs = defs.where("chunk_type = 'function_definition'").select(path, F.col("name").alias("owner"), "start_line", "end_line")
+    calls = lines.select(*file, "line", F.explode(called).alias("name"), declared.alias("_d")).where("name <> _d")
+    funcs = defs.where("chunk_type = 'function_definition'").select(*file, F.col("name").alias("owner"), "start_line", "end_line")
     # a function's lines, so that the lookup is an equi-join
-    spans = funcs.select(path, "owner", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    inner = spans.groupBy(path, "line").agg(F.max_by("owner", "start_line").alias("owner"))
-    call_rows = calls.join(inner, [path, "line"], "left").select(
+    spans = funcs.select(*file, "owner", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    inner = spans.groupBy(*file, "line").agg(F.max_by("owner", "start_line").alias("owner"))
+    call_rows = calls.join(inner, [*file, "line"], "left").select(
+        *file,
         F.coalesce(F.concat(F.lit("function:"), "owner"), F.concat(F.lit("file:"), path)).alias("src"),
         F.concat(F.lit("function:"), "name").alias("dst"), F.lit("calls").alias("rel_type"), "line",
     )
     parents = lines.select(
+        *file,
         "line",
         F.regexp_extract("text", r"class\s+(\w+)", 1).alias("name"),
         F.explode(
@@ -458,10 +471,12 @@ def code_edges(defs: DataFrame, files: DataFrame, path: str = "path", content: s
             )
         ).alias("parent"),
     ).select(
+        *file,
         F.concat(F.lit("class:"), "name").alias("src"), F.concat(F.lit("class:"), "parent").alias("dst"),
         F.lit("inherits").alias("rel_type"), "line",
     )
     imports = defs.where("chunk_type = 'import'").select(
+        *file,
         F.concat(F.lit("file:"), path).alias("src"), F.concat(F.lit("module:"), "name").alias("dst"),
         F.lit("imports").alias("rel_type"), F.col("start_line").alias("line"),
     )

@@ -340,7 +340,7 @@ def _(t):
     SELECT id, q AS query_text, line AS line_number, 'SELECT' AS query_type,
            upper(regexp_extract(q, 'FROM\\s+(\\w+)', 1)) AS tables, 'PRICE,SIZE' AS columns FROM s WHERE q <> ''""")
 def _(t):
-    out = extract.extract_sql(t.source_files.where(F.col("content").contains("String")))
+    out = extract.extract_sql(t.source_files)
     return out.select("id", "query_text", F.col("line_number").cast("long").alias("line_number"), "query_type", joined(F.col("tables")).alias("tables"), joined(F.col("columns")).alias("columns"))
 
 
@@ -451,7 +451,7 @@ def _(t):
 
 @query("code_edges")
 def _(t):
-    f = t.source_files.select("path", "content")
+    f = t.source_files.select("repository", "path", "content")
     return extract.code_edges(extract.definitions(f), f)
 
 
@@ -520,10 +520,10 @@ def _(t):
 
 
 @query("plsql_rules", """
-    SELECT p_partkey, concat('a_volum > ', p_size, ' ok|', upper(p_name), ' is missing') AS rules FROM part""")
+    SELECT p_partkey, concat('the_amount > ', p_size, '|', lower(p_type), ' <> other|total_net >= ', p_size, '|', upper(p_name), ' is missing') AS rules FROM part""")
 def _(t):
     src = t.part.selectExpr(
-        "p_partkey", "concat('BEGIN IF a_volum > ', p_size, ' ok THEN x; IF a THEN y; raise_application_error(-20001, \"', upper(p_name), ' is missing\")') AS s"
+        "p_partkey", "concat('BEGIN IF the_amount > ', p_size, ' THEN x; ELSIF ', lower(p_type), ' <> other', chr(10), ' THEN z; IF a THEN y; END IF; CASE WHEN total_net >= ', p_size, ' THEN 1 END; raise_application_error(-20001, \"', upper(p_name), ' is missing\")') AS s"
     )
     return src.select("p_partkey", F.array_join(extract.plsql_rules(F.col("s")), "|").alias("rules"))
 

@@ -62,6 +62,11 @@ def test_blocks_and_offsets(spark):
     assert [(r.start_byte, r.end_byte) for r in got] == [(0, 6), (6, 16), (16, len(code) + 1)]
 
 
+def test_block_words_are_whole_words():
+    code = "a\nformat(x)\ndefault = 2\nwithdraw(1)\nif_x = 1\nfor(x)\nwith y:"
+    assert [a for a, _, _ in chunking.block_cuts(code)] == [0, 5, 6]
+
+
 def test_table_functions(spark):
     chunking.register(spark)
     spark.createDataFrame([("\n".join("a" * 300 for _ in range(4)),)], "content string").createOrReplaceTempView("some_files")
@@ -125,15 +130,28 @@ def test_sql(spark):
     assert set(got["SELECT"].tables) == {"USERS", "ORDERS"} and got["SELECT"].line_number == 1
     assert set(got["SELECT"]["columns"]) == {"ID", "NAME", "AGE"}
     assert got["UPDATE"].tables == ["T"] and got["UPDATE"].line_number == 2
+    same = 'String a = "SELECT id FROM users WHERE x";\n\n\nString a = "SELECT id FROM users WHERE x";'
+    g = spark.createDataFrame([("G.java", same)], "path string, content string")
+    assert sorted(r.line_number for r in extract.extract_sql(g).collect()) == [0, 3]
 
 
 def test_jsp(spark):
     page = '<%@ page x %>\n<% if (a.isEmpty()) { session.getAttribute("u"); } %>\n<html:text property="n"/>'
     f = spark.createDataFrame([("p.jsp", page)], "path string, content string")
     got = extract.jsp_parts(f).orderBy("part").collect()
-    assert [r.chunk_type for r in got] == ["scriptlet", "scriptlet", "directive", "struts_tag"]
-    assert got[1].line == 1 and "Validation: a.isEmpty" in got[1].business_rules and len(got[1].migration_notes) == 1
-    assert got[3].business_purpose == "Text input field"
+    assert [r.chunk_type for r in got] == ["scriptlet", "directive", "struts_tag"]
+    assert got[0].line == 1 and "Validation: a.isEmpty" in got[0].business_rules and len(got[0].migration_notes) == 1
+    assert got[2].business_purpose == "Text input field" and got[2].line == 2
+
+
+def test_jsp_lines_of_repeats(spark):
+    page = '<%-- if x --%>\n<%@ include file="if x" %>\n<% if x %>\n\n<% if x %><bean:write a="1"/>\n<bean:write a="1"/>'
+    f = spark.createDataFrame([("p.jsp", page)], "path string, content string")
+    got = [(r.chunk_type, r.text, r.line) for r in extract.jsp_parts(f).orderBy("part").collect()]
+    assert got == [
+        ("scriptlet", "if x", 2), ("scriptlet", "if x", 4), ("directive", 'include file="if x"', 1),
+        ("struts_tag", '<bean:write a="1"/>', 4), ("struts_tag", '<bean:write a="1"/>', 5),
+    ]
 
 
 def test_definitions_and_edges(spark):
@@ -148,6 +166,13 @@ def test_definitions_and_edges(spark):
     assert ("file:m.py", "module:os", "imports") in e
 
 
+def test_edges_stay_in_their_repository(spark):
+    rows = [("r1", "m.py", "def a():\n    x = 1\n    go(1)"), ("r2", "m.py", "def a():\n    pass\ndef b():\n    pass")]
+    f = spark.createDataFrame(rows, "repository string, path string, content string")
+    e = {(r.repository, r.src, r.dst) for r in extract.code_edges(extract.definitions(f), f).collect()}
+    assert e == {("r1", "function:a", "function:go")}
+
+
 def test_questions(spark):
     field = lambda q: value(spark, extract.extract_field_name(F.lit(q)))
     assert field("Where does 'Specified Amount' come from?") == "Specified Amount"
@@ -157,5 +182,7 @@ def test_questions(spark):
 
 def test_plsql_and_struts(spark):
     assert value(spark, extract.plsql_rules(F.lit("CHECK (amou > 1000000)"))) == ["amou > 1000000"]
+    rules = "IF policy_amount > max_amount THEN a; ELSIF the_net IS NULL\nTHEN b; END IF; CASE WHEN holder_type = 'T' THEN 1 END"
+    assert value(spark, extract.plsql_rules(F.lit(rules))) == ["policy_amount > max_amount", "the_net IS NULL", "holder_type = 'T'"]
     s = value(spark, extract.struts_patterns(F.lit('ActionForm f; OrderService.load(1); mapping.findForward("ok")')))
     assert s.uses_action_form and s.forwards == ["ok"] and s.business_service_calls == ["OrderService.load"]
