@@ -83,31 +83,47 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def telling(doc: np.ndarray, col: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """True for the buckets that one class has more often than chance explains, by `Z` deviations."""
-    n = np.bincount(col, minlength=BUCKETS)
-    share = toxic.mean()
-    z = (np.bincount(col, toxic[doc], BUCKETS) - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    return np.abs(z) >= Z
-
-
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows ``doc, bucket, weight``, sorted by doc: a word is the mean of its subwords, a text that of its words."""
-    split = [tokens(t) for t in texts]
-    listed = sorted({w for ws in split for w in ws})
-    index = {w: i for i, w in enumerate(listed)}
-    flat, sizes = subwords(listed)
+def bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Per text its distinct words and their shares, and the subwords of all words with their number per word."""
+    index: dict[str, int] = {}
+    out = []
+    for t in texts:
+        ws = tokens(t)
+        word, n = np.unique(np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int32, len(ws)), return_counts=True)
+        out.append((word, (n / max(1, len(ws))).astype(np.float32)))
+    flat, sizes = subwords(list(index))
+    return out, flat.astype(np.int32), sizes
+
+
+def features(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows ``doc, bucket, weight``, sorted by doc: a word is the mean of its subwords, a text that of its words.
+
+    Only buckets that one class has more often than chance explains, by `Z` deviations, are kept: the
+    others would serve to learn mislabelled texts by heart. Texts are gone through twice, so that only
+    what is kept is ever held.
+    """
+    split, flat, sizes = bags(texts)
     starts = np.cumsum(sizes) - sizes
-    docs, cols, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for d, ws in enumerate(split):
-        if not ws:
-            continue
-        word, n = np.unique(np.fromiter((index[w] for w in ws), np.int64, len(ws)), return_counts=True)
+
+    def row(d: int) -> tuple[np.ndarray, np.ndarray]:
+        word, share = split[d]
         size = sizes[word]
-        share = np.repeat(n / len(ws) / size, size)
         at = np.repeat(starts[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         bucket, back = np.unique(flat[at], return_inverse=True)
-        docs.append(np.full(len(bucket), d)), cols.append(bucket), weights.append(np.bincount(back, share))
+        return bucket, np.bincount(back, np.repeat(share / np.maximum(size, 1), size), len(bucket)).astype(np.float32)
+
+    n, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for d in range(len(texts)):
+        bucket, _ = row(d)
+        n[bucket] += 1
+        bad[bucket] += toxic[d]
+    p = toxic.mean()
+    telling = np.abs(bad - n * p) >= Z * np.sqrt(np.maximum(n, 1) * p * (1 - p))
+    docs, cols, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for d in range(len(texts)):
+        bucket, weight = row(d)
+        keep = telling[bucket]
+        docs.append(np.full(keep.sum(), d, np.int32)), cols.append(bucket[keep]), weights.append(weight[keep])
     return np.concatenate(docs), np.concatenate(cols), np.concatenate(weights)
 
 
@@ -119,10 +135,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     if not len(texts) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(texts) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 10.0 * (2 * share - 1))
-    doc, col, weight = features(texts)
-    # the others would only serve to learn mislabelled texts by heart; their embeddings stay zero
-    used = telling(doc, col, toxic)[col]
-    doc, (kept, col), weight = doc[used], np.unique(col[used], return_inverse=True), weight[used]
+    doc, col, weight = features(texts, toxic)
+    kept, col = np.unique(col, return_inverse=True)
     # weights are shares of a text, so small numbers
     scale = 1 / np.sqrt(max((weight**2).mean() if len(weight) else 0.0, 1e-12))
     weight = (weight * scale).astype(np.float32)
@@ -156,16 +170,15 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to train on: the first ``most`` labelled rows of each class in hash order.
+    """Texts and labels to train on: the first ``most`` labelled rows in hash order.
 
     Held out ids and null labels or ids are left out, an id labelled both ways counts as toxic, and of
     several texts of an id the smallest is taken.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     present = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = [present.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
-    # at most 2 * most rows of two numbers
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    # at most ``most`` rows of two numbers
+    ids = F.broadcast(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     rows = docs.select("doc_id", whole().alias("t")).join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: str(r["doc_id"]))
     return [r["t"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
