@@ -106,14 +106,15 @@ def _(t):
 
 
 @query("hybrid_search", f"""
-    WITH {ASKED}, c AS (SELECT * FROM chunks JOIN vectors USING (id)), {hits('h', 'c', 20)}, {bm25('w', 'asked', 'c', 10)},
+    WITH {ASKED}, c AS (SELECT * FROM chunks JOIN vectors USING (id)), {hits('h', 'c', 20)}, {bm25('w', 'asked', 'chunks', 10)},
     b AS (SELECT query_id, id, round(score * 0.7, 9) AS score, 'semantic' AS source FROM h
           UNION ALL SELECT query_id, id, round(score * 0.3, 9), 'graph' FROM w),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, source DESC) AS rn FROM b) WHERE rn = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_results FROM u)
     SELECT query_id, id, score, source, rank, total_results FROM r WHERE rank <= 10""")
 def _(t):
-    return search.hybrid_search(asked(t), chunks(t).select("id", "content", "vector"), 10)
+    every = t.chunks.join(t.vectors, "id", "left")
+    return search.hybrid_search(asked(t), every.select("id", "content", "vector"), 10)
 
 
 EXPANDED = f"""

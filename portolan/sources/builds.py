@@ -65,18 +65,33 @@ def _built_in(p: Column) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
+def _parsed(content: str) -> Column:
+    return F.from_xml(content, POM, {"rowTag": "project", "ignoreNamespace": "true"})
+
+
+def _has_coordinates(x: Column) -> Column:
+    return F.coalesce(
+        F.coalesce(x["groupId"], x["parent"]["groupId"]).isNotNull() & x["artifactId"].isNotNull() & F.coalesce(x["version"], x["parent"]["version"]).isNotNull(),
+        F.lit(False),
+    )
+
+
+def rejected_poms(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """A3: the build files that `parse_poms` leaves out, ``(path, reason)``."""
+    bad = F.filter(F.array(_parsed(content)), lambda x: ~_has_coordinates(x))
+    p = files.select(path, F.explode(bad).alias("p"))
+    empty = F.coalesce("p.groupId", "p.artifactId", "p.version", "p.parent.groupId", "p.parent.version").isNull()
+    return p.select(F.col(path).alias("path"), F.when(empty, "not a readable project").otherwise("coordinates missing").alias("reason"))
+
+
 def parse_poms(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """A3: one row per build file with coordinates, parent, properties and nested parts.
 
     Group and version come from the parent where missing. Files without all three
-    coordinates are left out. ``effective`` holds own and built-in properties.
+    coordinates are left out; `rejected_poms` lists them. ``effective`` holds own and built-in properties.
     """
-    parsed = F.from_xml(content, POM, {"rowTag": "project", "ignoreNamespace": "true"})
-    whole = lambda x: (
-        F.coalesce(x["groupId"], x["parent"]["groupId"]).isNotNull() & x["artifactId"].isNotNull() & F.coalesce(x["version"], x["parent"]["version"]).isNotNull()
-    )
     # tested inside the generator, so that no filter below it parses the text again
-    p = widen(files).select(path, F.explode(F.filter(F.array(parsed), whole)).alias("p")).select(path, "p.*")
+    p = widen(files).select(path, F.explode(F.filter(F.array(_parsed(content)), _has_coordinates)).alias("p")).select(path, "p.*")
     p = p.withColumns(
         {
             "group_id": F.coalesce("groupId", "parent.groupId"),

@@ -15,7 +15,6 @@ INCLUDE = [f"**/*.{x}" for x in "java py js ts jsx tsx go rs cpp c h hpp cs php
 EXCLUDE = [f"**/{d}/**" for d in (
     "target build dist node_modules .git bin obj .vscode .idea __pycache__ .pytest_cache coverage htmlcov logs tmp temp".split()
 )] + [f"**/*.{x}" for x in "class jar war ear exe dll so".split()] + ["**/.coverage", "**/.DS_Store", "**/Thumbs.db"]
-MAX_BYTES = 10 * 1024 * 1024
 
 
 def include_regex(glob: str) -> str:
@@ -30,21 +29,17 @@ def is_included(path: Column, patterns: list[str]) -> Column:
     return path.rlike("|".join(include_regex(p) for p in patterns)) if patterns else F.lit(True)
 
 
-def read_repo_files(
-    spark: SparkSession, root: str, include: list[str] = INCLUDE, exclude: list[str] = EXCLUDE, max_bytes: int = MAX_BYTES,
-    extensions: list[str] | None = None, stream: bool = False,
-) -> DataFrame:
-    """A1: files below ``root`` as ``(repository, path, length, modified, bytes)``.
-
-    The first folder below ``root`` names the repository and paths are relative to it.
-    Size and path tests come before the content is touched. With ``stream`` new files are
-    read as they appear.
-    """
+def _listed(spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: list[str] | None, stream: bool) -> DataFrame:
+    """All wanted files as ``(repository, path, length, modified, bytes)``, whatever their size."""
     reader = spark.readStream if stream else spark.read
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true")
+    kinds = [re.fullmatch(r"\*\*/(\*\.\w+)", p) for p in include]
+    if include and all(kinds):
+        # tested on the names while listing, so other files are never opened
+        reader = reader.option("pathGlobFilter", "{" + ",".join(k[1] for k in kinds) + "}")
     if stream:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
-    files = reader.load(root).where(F.col("length") <= max_bytes)
+    files = reader.load(root)
     base = re.escape("/" + root.split("://")[-1].strip("/").split("/", 1)[-1]) if "://" in root else re.escape("/" + root.strip("/"))
     inner = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^(?:[a-z0-9]+:)?.*?{base}/(.*)$", 1)
     files = files.select(
@@ -58,6 +53,29 @@ def read_repo_files(
     return files
 
 
+def read_repo_files(
+    spark: SparkSession, root: str, include: list[str] = INCLUDE, exclude: list[str] = EXCLUDE, max_bytes: int | None = None,
+    extensions: list[str] | None = None, stream: bool = False,
+) -> DataFrame:
+    """A1: files below ``root`` as ``(repository, path, length, modified, bytes)``.
+
+    The first folder below ``root`` names the repository and paths are relative to it. Name
+    suffixes and a size bound are tested before a file is opened; files in excluded
+    folders are opened and then dropped. ``max_bytes`` bounds the size only if given, and
+    `skipped_files` lists what it leaves out. With ``stream`` new files are read as they appear.
+    """
+    files = _listed(spark, root, include, exclude, extensions, stream)
+    return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+
+
+def skipped_files(
+    spark: SparkSession, root: str, max_bytes: int, include: list[str] = INCLUDE, exclude: list[str] = EXCLUDE, extensions: list[str] | None = None
+) -> DataFrame:
+    """A1: the files a bound of ``max_bytes`` leaves out, with length and reason; none is opened."""
+    files = _listed(spark, root, include, exclude, extensions, False).where(F.col("length") > max_bytes)
+    return files.select("repository", "path", "length", F.lit(f"longer than {max_bytes} bytes").alias("reason"))
+
+
 def decode_text(files: DataFrame, col: str = "bytes", ignore_errors: bool = False) -> DataFrame:
     """A2: bytes to ``content``: UTF-8 where valid, else Latin-1 (or UTF-8 with bad bytes dropped)."""
     raw = F.col(col)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portolan.functions.chunking import line_chunks
-from portolan.sources import catalog, files, stores
+from portolan.sources import builds, catalog, files, stores
 
 
 @pytest.fixture()
@@ -34,6 +34,18 @@ def test_read_files(spark, repo):
     assert got[("one", "src/Main.java")].language == "java"
     few = files.read_repo_files(spark, str(root), extensions=[".py"]).select("path").collect()
     assert {r.path for r in few} == {"a b+c.py", "latin.py", "big.py"}
+    (left,) = files.skipped_files(spark, str(root), 1000).collect()
+    assert (left.repository, left.path, left.length, left.reason) == ("two", "big.py", 2000, "longer than 1000 bytes")
+    assert "big.py" in {r.path for r in files.source_files(spark, str(root)).collect()}
+
+
+def test_rejected_build_files(spark):
+    pom = "<project><groupId>g</groupId><artifactId>{}</artifactId>{}</project>"
+    rows = [("a", pom.format("a", "<version>1</version>")), ("b", pom.format("b", "")), ("c", "not xml"), ("d", None)]
+    f = spark.createDataFrame(rows, "path string, content string")
+    assert [r.path for r in builds.parse_poms(f).collect()] == ["a"]
+    bad = {r.path: r.reason for r in builds.rejected_poms(f).collect()}
+    assert bad == {"b": "coordinates missing", "c": "not a readable project", "d": "not a readable project"}
 
 
 def test_decode_dropping_bad_bytes(spark):
