@@ -254,7 +254,7 @@ def license_conflicts(repo_roots: DataFrame, closure: DataFrame, licenses: DataF
     held = reached_licenses(repo_roots, closure, licenses)
     other = held.select("repo", "root", F.col("license").alias("conflicting"), F.col("dependencies").alias("conflicting_dependencies"))
     return (
-        held.join(F.broadcast(incompatible), "license")
+        held.join(incompatible, "license")
         .join(other, ["repo", "root", "conflicting"])
         .select("repo", F.col("root").alias("artifact"), "license", "dependencies", "conflicting", "conflicting_dependencies")
     )

@@ -211,14 +211,14 @@ def incompatible(t):
     SELECT h.repo, h.root AS artifact, h.license, h.n AS dependencies, conflicting, o.n AS conflicting_dependencies
     FROM h JOIN inc ON h.license = inc.license JOIN h o ON o.repo = h.repo AND o.root = h.root AND o.license = conflicting""")
 def _(t):
-    return deps.license_conflicts(t.repo_artifacts, graph.reach(t.dep_edges), t.licenses, incompatible(t))
+    return deps.license_conflicts(t.repo_artifacts, graph.reach(t.dep_edges, t.repo_artifacts.select("artifact")), t.licenses, incompatible(t))
 
 
 @query("licenses_by_repository", f"""
     WITH RECURSIVE {CLOSURE}, {ROOTS}
     SELECT DISTINCT repo, license FROM roots JOIN closure ON roots.artifact = root AND root <> node JOIN licenses l ON l.artifact = node""")
 def _(t):
-    return deps.licenses_by_repository(t.repo_artifacts, graph.reach(t.dep_edges), t.licenses)
+    return deps.licenses_by_repository(t.repo_artifacts, graph.reach(t.dep_edges, t.repo_artifacts.select("artifact")), t.licenses)
 
 
 @query("unused_dependencies", """

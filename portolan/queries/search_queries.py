@@ -6,6 +6,7 @@ from portolan.functions import rules
 from portolan.operators import search
 from portolan.queries.registry import query
 from portolan.queries.text_queries import first_match
+from portolan.session import widen, written
 
 
 def r6(*cols):
@@ -102,7 +103,7 @@ def bm25(name, asked, docs, k):
 
 @query("keyword_search", f"WITH {bm25('w', 'questions', 'chunks', 10)} SELECT query_id, id, score, rank FROM w")
 def _(t):
-    return search.keyword_search(t.questions, t.chunks.select("id", "content"), 10)
+    return search.keyword_search(t.questions, widen(t.chunks).select("id", "content"), 10)
 
 
 @query("hybrid_search", f"""
@@ -113,7 +114,7 @@ def _(t):
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_results FROM u)
     SELECT query_id, id, score, source, rank, total_results FROM r WHERE rank <= 10""")
 def _(t):
-    every = t.chunks.join(t.vectors, "id", "left")
+    every = widen(t.chunks).join(t.vectors, "id", "left")
     return search.hybrid_search(asked(t), every.select("id", "content", "vector"), 10)
 
 
@@ -249,6 +250,48 @@ def _(t):
     return search.legacy_pattern_hits(with_rows(search.vector_search(asked(t), f, 20, 0.05), f))
 
 
+def embedded_files(t):
+    """All source files with a vector of the default encoder."""
+    f = t.source_files.select("id", F.col("path").alias("file_path"), "content")
+    return written(search.embed_chunks(f, size=search.VECTOR_SIZE), "embedded_files")
+
+
+def named(t, names, k, least, subject=""):
+    """Hits of preset texts over all source files, with the files."""
+    f = embedded_files(t)
+    texts = {n: search.PRESET_QUERIES[n].format(subject) for n in names}
+    return with_rows(search.named_search(f, texts, k, least), f)
+
+
+@query("named_struts_actions")
+def _(t):
+    return search.struts_action_hits(named(t, ["struts_actions"], 50, 0.2))
+
+
+@query("named_business_logic")
+def _(t):
+    return search.business_logic_hits(named(t, ["business_logic"], 15, 0.1, "PartService"))
+
+
+@query("named_security")
+def _(t):
+    f = embedded_files(t)
+    found = search.named_search(f, {f"{i:02d}": q for i, q in enumerate(search.SECURITY_QUERIES)}, 8, 0.05)
+    return search.security_hits(with_rows(found, f))
+
+
+@query("named_feature_dependencies")
+def _(t):
+    return search.feature_dependencies(named(t, ["feature"], 20, 0.05, "PartService"))
+
+
+@query("named_migration_suggestions")
+def _(t):
+    found = named(t, ["suggestion_logic", "suggestion_data"], 20, 0.05)
+    one = found.withColumn("query_id", F.lit("suggestions"))
+    return search.migration_suggestions(one.where("pattern = '" + search.PRESET_QUERIES["suggestion_logic"] + "'"), one.where("pattern = '" + search.PRESET_QUERIES["suggestion_data"] + "'"))
+
+
 @query("embedded_legacy_search")
 def _(t):
     """Named patterns embedded with the default encoder and searched in the embedded source files."""
@@ -262,5 +305,5 @@ def _(t):
 
 @query("embedded_chunks")
 def _(t):
-    out = search.embed_chunks(t.chunks.select("id", "content"))
+    out = search.embed_chunks(widen(t.chunks).select("id", "content"))
     return out.select("id", F.size("vector").alias("dimension"), F.round(F.array_max("vector"), 4).alias("largest"), "embedding_failed")

@@ -428,14 +428,14 @@ def _(t):
 
 @query("line_chunks")
 def _(t):
-    return chunking.line_chunks(t.chunks, keep=["repository", "id"]).select(
+    return chunking.line_chunks(widen(t.chunks), keep=["repository", "id"]).select(
         F.concat_ws(":", "repository", F.col("chunk_index").cast("string")).alias("place"), "chunk_index", "start_line", "end_line", F.md5("chunk").alias("digest"), "repository"
     )
 
 
 @query("semantic_chunks")
 def _(t):
-    return chunking.semantic_chunks(t.chunks, keep=["id"]).select("id", "chunk_index", "start_line", "end_line", F.md5("chunk").alias("digest"))
+    return chunking.semantic_chunks(widen(t.chunks), keep=["id"]).select("id", "chunk_index", "start_line", "end_line", F.md5("chunk").alias("digest"))
 
 
 @query("logical_blocks")

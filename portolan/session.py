@@ -89,12 +89,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when it comes from fewer files than there are cores.
+    """``df`` dealt out to all cores when its scan has fewer splits than there are cores.
 
-    For costly work per row on few input files; data in many files is left as it is.
+    For callers that know their input to be few files with costly work per row; no operator does it by itself.
     """
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if splits < cores else df
 
 
 def fits(df: DataFrame, rows: int) -> bool:

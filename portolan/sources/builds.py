@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portolan.functions.extract import resolve_properties
-from portolan.session import widen
 
 _GAV = "groupId string, artifactId string, version string"
 _DEPENDENCY = (
@@ -91,7 +90,7 @@ def parse_poms(files: DataFrame, content: str = "content", path: str = "path") -
     coordinates are left out; `rejected_poms` lists them. ``effective`` holds own and built-in properties.
     """
     # tested inside the generator, so that no filter below it parses the text again
-    p = widen(files).select(path, F.explode(F.filter(F.array(_parsed(content)), _has_coordinates)).alias("p")).select(path, "p.*")
+    p = files.select(path, F.explode(F.filter(F.array(_parsed(content)), _has_coordinates)).alias("p")).select(path, "p.*")
     p = p.withColumns(
         {
             "group_id": F.coalesce("groupId", "parent.groupId"),
@@ -131,7 +130,7 @@ def pom_dependencies(poms: DataFrame, col: str = "dependencies") -> DataFrame:
 def parse_struts_config(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """One row per configuration file with action mappings, form beans and global forwards."""
     parsed = F.from_xml(content, STRUTS, {"rowTag": "struts-config", "ignoreNamespace": "true"})
-    s = widen(files).select(path, F.explode(F.array(parsed)).alias("s")).select(path, "s.*")
+    s = files.select(path, F.explode(F.array(parsed)).alias("s")).select(path, "s.*")
     text = lambda c, default="": F.coalesce(c, F.lit(default))
     forward = lambda f: F.struct(text(f["_name"]).alias("name"), text(f["_path"]).alias("path"), text(f["_redirect"], "false").alias("redirect"))
     action = lambda a: F.struct(
