@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from portolan.functions import extract
+from portolan.functions import extract, text
 from portolan.queries.registry import query
 from portolan.sources import builds, catalog, files, stores
 
@@ -186,3 +186,28 @@ def _(t):
     return t.source_files.select(
         "id", extract.file_migration_complexity(patterns, F.regexp_count(c, F.lit(extract.STRUTS_TAG_NAME)) > 0, F.lit(0), rules_found).alias("level")
     )
+
+
+@query("included_paths", r"""
+    SELECT id, path FROM source_files
+    WHERE regexp_matches(path, '\.(java|py|js|ts|jsx|tsx|go|rs|cpp|c|h|hpp|cs|php|rb|scala|kt|swift)$')
+      AND NOT regexp_matches(path, '(^|/)(target|build|dist|node_modules|\.git|bin|obj|\.vscode|\.idea|__pycache__|\.pytest_cache|coverage|htmlcov|logs|tmp|temp)/')""")
+def _(t):
+    path = F.col("path")
+    return t.source_files.where(files.is_included(path, files.INCLUDE) & ~text.is_excluded(path, files.EXCLUDE)).select("id", "path")
+
+
+# every other text is written in Latin-1, which has all letters of these texts
+@query("decoded_texts", "SELECT doc_id, md5(text) AS digest, length(text) AS characters FROM documents")
+def _(t):
+    raw = t.documents.selectExpr("doc_id", "CASE WHEN doc_id % 2 = 0 THEN encode(text, 'UTF-8') ELSE encode(text, 'ISO-8859-1') END AS bytes")
+    return files.decode_text(raw).select("doc_id", F.md5("content").alias("digest"), F.length("content").cast("long").alias("characters"))
+
+
+@query("parsed_logs", """
+    SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, level, concat(event_id, ' ', message) AS message, CAST(component AS VARCHAR) AS component
+    FROM app_logs WHERE event_id % 10 > 0 ORDER BY ts DESC, concat(event_id, ' ', message) LIMIT 100""")
+def _(t):
+    entry = "to_json(struct(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS timestamp, level, concat(event_id, ' ', message) AS message, cast(component AS string) AS component))"
+    lines = t.app_logs.selectExpr(f"CASE WHEN event_id % 10 > 0 THEN {entry} ELSE substr({entry}, 1, 30) END AS value")
+    return stores.parse_app_logs(lines).select("timestamp", "level", "message", "component")

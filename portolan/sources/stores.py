@@ -14,7 +14,14 @@ LOG_SCHEMA = "timestamp string, level string, logger string, message string, com
 
 def read_app_logs(spark: SparkSession, path: str, component: str | None = None, limit: int = 100, schema: str = LOG_SCHEMA) -> DataFrame:
     """The newest log entries of JSON-lines files; broken lines are skipped."""
-    logs = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return parse_app_logs(spark.read.text(path), component, limit, schema)
+
+
+def parse_app_logs(lines: DataFrame, component: str | None = None, limit: int = 100, schema: str = LOG_SCHEMA, line: str = "value") -> DataFrame:
+    """The same from rows of text, one entry each."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = lines.where(F.trim(line) != "").select(F.from_json(line, f"{schema}, _broken string", options).alias("e")).select("e.*")
+    logs = parsed.where("_broken IS NULL").drop("_broken")
     if component is not None:
         logs = logs.where(F.col("component") == component)
     return logs.orderBy(F.desc("timestamp"), "message").limit(limit)

@@ -78,7 +78,7 @@ class Tail:
     """The last rows of every series, written once per micro-batch.
 
     Micro-batch n reads the tail of n - 1 and writes its own, so a repeated batch reads and
-    writes the same.
+    writes the same. By then n - 2 is committed and its tail goes.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -95,6 +95,9 @@ class Tail:
 
     def put(self, epoch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self._at(epoch))
+        if epoch > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(epoch - 2))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def threshold_alerts(
