@@ -66,4 +66,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op7_url_filter": urls.ORACLE,
+    "op8_suffix_dedup": suffixes.ORACLE,
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ MAP_BITS = 1 << 27
 #: Bytes looked at in one go; positions in them take 20 bits.
 BUFFER = (1 << 20) - SPAN
 #: Sampled suffixes that a task sorts into one run, and that one bucket of the merge is meant to get.
-RUN, BUCKET = 1 << 16, 1 << 17
+RUN, BUCKET = 1 << 18, 1 << 17
 #: Suffixes of one gram that one task compares; more meet by the hash of every string instead.
 GROUP = 1 << 18
 
@@ -161,8 +163,8 @@ class Run:
         self.next = i + 1
 
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
-    """``run, place, shared`` of all strings in order; ``shared`` is the prefix shared with the one before.
+def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, bytes]]:
+    """``run, place, shared, string`` of all strings in order; ``shared`` is the prefix shared with the one before.
 
     A loser tree in which every run knows how much its head shares with the last winner. Of two heads the
     one that shares more is the smaller; only if they share as much are they compared, from there on.
@@ -195,7 +197,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
     top = winners[1]
     while heads[top] is not None:
         run = runs[top]
-        yield top, run.next - 1, shared[top]
+        yield top, run.next - 1, shared[top], heads[top]
         run.advance()
         heads[top] = run.head
         shared[top] = run.shared
@@ -257,80 +259,85 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, after - 1
 
 
-def _held(docs: DataFrame, bits, buckets: int) -> DataFrame:
-    """``row, part, ids, lows, grams`` of every text with runs whose gram is in the map, and with it the sorted
-    runs of their suffixes as ``bucket, run``: one table for both, as they come from the same pass."""
+def identity(left: bytes, right: bytes) -> bytes:
+    """16 bytes that stand for a suffix and the bytes before it."""
+    return hashlib.blake2b(left + right, digest_size=15, key=bytes([len(left)])).digest() + bytes([len(left)])
 
-    def blob(items: list[tuple[bytes, bytes, bytes, int]]) -> bytes:
-        shared, rests, sizes = front_coded([r for r, _, _, _ in items])
-        lefts = [l for _, l, _, _ in items]
-        arrays = [np.array(shared, np.uint8), np.array(sizes, np.uint8), np.array([len(l) for l in lefts], np.uint8), np.array([n for *_, n in items], np.uint8)]
-        return b"".join([np.array([len(items), len(rests)], np.int64).tobytes(), *[a.tobytes() for a in arrays], *[i for _, _, i, _ in items], rests, *lefts])
+
+def _marked(texts: list[bytes], marks: np.ndarray) -> Iterator[tuple[bytes, list, Iterator[tuple[int, int, int, int, int]]]]:
+    """Of every buffer: its bytes, its index, and ``piece, gram, low, high, hash`` of the runs whose gram is in the map."""
+    for data, ok, index in buffers(texts):
+        gram, low, high, h = anchors(data, ok)
+        place = (h >> np.uint64(37)).astype(np.int64)
+        on = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        gram, low, high, h = gram[on], low[on], high[on], h[on]
+        owner = np.searchsorted(np.array([at for _, at, _ in index]), low, "right") - 1
+        yield data.tobytes(), index, zip(owner.tolist(), gram.tolist(), low.tolist(), high.tolist(), (h & np.uint64(0xFFFFFFFF)).tolist(), strict=True)
+
+
+def _places(docs: DataFrame, bits) -> DataFrame:
+    """``row, ids, grams``: per text the identities of its suffixes, 16 bytes each, and where their grams are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bits.value
-        seen: dict[tuple[int, bytes, bytes], list] = {}
-
-        def sorted_runs() -> Iterator[pa.RecordBatch]:
-            items, rows = sorted(seen.items()), []
-            at = 0
-            while at < len(items):
-                bucket, end = items[at][0][0], at
-                while end < len(items) and items[end][0][0] == bucket:
-                    end += 1
-                rows.append((bucket, blob([(r, l, i, min(n, 2)) for (_, r, l), (i, n) in items[at:end]])))
-                at = end
-            seen.clear()
-            for at in range(0, len(rows), 64):
-                some = rows[at : at + 64]
-                yield batch_of([None] * len(some), [None] * len(some), [None] * len(some), [None] * len(some), [b for b, _ in some], [x for _, x in some])
-
-        def batch_of(row, ids, lows, grams, bucket, blobs) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((row, ids, lows, grams, bucket, blobs), kinds, strict=True)], ["row", "ids", "lows", "grams", "bucket", "run"])
-
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for data, ok, index in buffers(texts):
-                gram, low, high, h = anchors(data, ok)
-                place = (h >> np.uint64(37)).astype(np.int64)
-                on = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                gram, low, high, h = gram[on], low[on], high[on], h[on]
-                owner = np.searchsorted(np.array([at for _, at, _ in index]), low, "right") - 1
-                raw = data.tobytes()
-                bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).tolist()
-                found: dict[int, tuple[list, list, list]] = {}
-                for g, a, z, b, o in zip(gram.tolist(), low.tolist(), high.tolist(), bucket, owner.tolist(), strict=True):
+            for raw, index, found in _marked(texts, marks):
+                mine: dict[int, tuple[list, list]] = {}
+                for o, g, a, z, _ in found:
                     text, start, base = index[o]
-                    right, left = raw[g : z + SPAN], raw[a:g][::-1]
-                    entry = seen.get((b, right, left))
-                    if entry is None:
-                        entry = seen[b, right, left] = [hashlib.blake2b(left + right, digest_size=15, key=bytes([len(left)])).digest() + bytes([len(left)]), 0]
-                    entry[1] += 1
-                    mine = found.setdefault(text, ([], [], []))
-                    mine[0].append(entry[0]), mine[1].append(base + a - start), mine[2].append(base + g - start)
-                if found:
-                    some = list(found)
-                    nulls = [None] * len(some)
-                    yield batch_of([keys[t] for t in some], [b"".join(found[t][0]) for t in some], [found[t][1] for t in some], [found[t][2] for t in some], nulls, nulls)
-                if len(seen) >= RUN:
-                    yield from sorted_runs()
-        yield from sorted_runs()
+                    ids, grams = mine.setdefault(text, ([], []))
+                    ids.append(identity(raw[a:g][::-1], raw[g : z + SPAN]))
+                    grams.append(base + g - start)
+                if mine:
+                    rows = [(keys[t], b"".join(i), g) for t, (i, g) in mine.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["row", "ids", "grams"])
 
     source = docs.select(row_key(F.col("doc_id"), whole()).alias("row"), whole().cast("binary").alias("t"))
-    return source.mapInArrow(run, "row string, ids binary, lows array<int>, grams array<int>, bucket long, run binary")
+    return source.mapInArrow(run, "row string, ids binary, grams array<int>")
 
 
-def read_run(blob: bytes) -> tuple[Run, list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """A run and, per suffix: its id, the bytes before it, the least and greatest offset, and how often it came (2: more)."""
+def write_run(items: list[tuple[bytes, bytes, int]]) -> bytes:
+    """Sorted ``(suffix, bytes before it, how often)``, front-coded and packed."""
+    shared, rests, sizes = front_coded([r for r, _, _ in items])
+    lefts = [l for _, l, _ in items]
+    arrays = [np.array(x, np.uint8).tobytes() for x in (shared, sizes, [len(l) for l in lefts], [min(n, 2) for *_, n in items])]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(items), len(rests)], np.int64).tobytes(), *arrays, rests, *lefts]))
+
+
+def _runs(docs: DataFrame, bits, buckets: int) -> DataFrame:
+    """``bucket, run``: every task's suffixes as sorted runs, equal ones once, cut by the bucket of their gram."""
+
+    def flushed(seen: dict[tuple[int, bytes, bytes], int]) -> Iterator[pa.RecordBatch]:
+        rows = [(bucket, write_run([(r, l, n) for (_, r, l), n in own])) for bucket, own in groupby(sorted(seen.items()), lambda x: x[0][0])]
+        seen.clear()
+        for at in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 64], strict=True), (pa.int64(), pa.binary()), strict=True)], ["bucket", "run"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = bits.value
+        seen: dict[tuple[int, bytes, bytes], int] = {}
+        for batch in batches:
+            for raw, _, found in _marked(batch.column(0).to_pylist(), marks):
+                for _, g, a, z, h in found:
+                    key = (h % buckets, raw[g : z + SPAN], raw[a:g][::-1])
+                    seen[key] = seen.get(key, 0) + 1
+                if len(seen) >= RUN:
+                    yield from flushed(seen)
+        yield from flushed(seen)
+
+    return docs.select(whole().cast("binary").alias("t")).mapInArrow(run, "bucket long, run binary")
+
+
+def read_run(blob: bytes) -> tuple[Run, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """A run and, per suffix: the bytes before it, the least and greatest offset, and how often it came (2: more)."""
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n, size = np.frombuffer(blob, np.int64, 2).tolist()
     shared, sizes, lefts, many = (np.frombuffer(blob, np.uint8, n, 16 + i * n).astype(np.int64) for i in range(4))
     at = 16 + 4 * n
-    ids = [blob[at + 16 * i : at + 16 * i + 16] for i in range(n)]
-    at += 16 * n
     ends = at + size + np.cumsum(lefts)
     left = [blob[e - k : e] for e, k in zip(ends.tolist(), lefts.tolist(), strict=True)]
-    return Run(shared, blob[at : at + size], sizes), ids, left, SPAN - (shared + sizes), lefts, many
+    return Run(shared, blob[at : at + size], sizes), left, SPAN - (shared + sizes), lefts, many
 
 
 def _merged(runs: DataFrame, group: int) -> DataFrame:
@@ -340,7 +347,7 @@ def _merged(runs: DataFrame, group: int) -> DataFrame:
 
     def bucket_rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         read = [read_run(b) for b in blobs]
-        held: list[tuple[int, int, int]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         for item in merge([r[0] for r in read]):
             # a gram's suffixes share at least the gram
             if item[2] < GRAM and len(held) >= BUCKET:
@@ -349,43 +356,30 @@ def _merged(runs: DataFrame, group: int) -> DataFrame:
             held.append(item)
         yield from resolve(read, held)
 
-    def resolve(read: list, held: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    def batch_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def resolve(read: list, held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        run, place, right = (np.array(x) for x in zip(*held, strict=True))
+        right = np.array([h[2] for h in held])
         right[0] = 0
-        pick = lambda k: np.array([read[r][k][p] for r, p in zip(run.tolist(), place.tolist(), strict=True)])
-        many = pick(5) > 1
-        new = np.flatnonzero(right < GRAM)
-        size = np.diff(np.append(new, len(right)))
+        left = [read[r][1][p] for r, p, _, _ in held]
+        low, high, many = (np.array([read[r][k][p] for r, p, _, _ in held]) for k in (2, 3, 4))
+        size = np.diff(np.append(np.flatnonzero(right < GRAM), len(right)))
         sizes = np.repeat(size, size)
-        keep = np.flatnonzero(((sizes > 1) | many) & (sizes <= group))
+        keep = np.flatnonzero(((sizes > 1) | (many > 1)) & (sizes <= group))
         if len(keep):
-            low, high = pick(3)[keep], pick(4)[keep]
-            left = [read[run[i]][2][place[i]] for i in keep.tolist()]
-            row, first, last = runs_of(repeated(right[keep], left, low, high, many[keep]))
-            ids = [read[run[i]][1][place[i]] for i in keep[row].tolist()]
+            row, first, last = runs_of(repeated(right[keep], [left[i] for i in keep.tolist()], low[keep], high[keep], many[keep] > 1))
+            ids = [identity(left[i], held[i][3]) for i in keep[row].tolist()]
             nulls = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, first, last, nulls, nulls, nulls, nulls), schema, strict=True)], schema=schema)
+            yield batch_of([ids, first, last, nulls, nulls, nulls, nulls])
         crowd = np.flatnonzero(sizes > group).tolist()
         for at in range(0, len(crowd), 4096):
-            rows = []
-            for i in crowd[at : at + 4096]:
-                r, p = int(run[i]), int(place[i])
-                rows.append((read[r][1][p], None, None, read[r][2][p][::-1] + string(read[r][0], p), int(read[r][3][p]), int(read[r][4][p]), int(many[i]) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    def string(run: Run, place: int) -> bytes:
-        # a run is front-coded: read on from the last string asked for
-        if getattr(run, "kept", None) is None or run.kept[0] > place:
-            run.kept = (-1, b"", 0)
-        i, s, at = run.kept
-        while i < place:
-            i += 1
-            end = at + run.sizes[i]
-            s, at = s[: run.all_shared[i]] + run.rests[at:end], end
-        run.kept = (i, s, at)
-        return s
+            some = crowd[at : at + 4096]
+            nulls = [None] * len(some)
+            texts = [left[i][::-1] + held[i][3] for i in some]
+            yield batch_of([[identity(left[i], held[i][3]) for i in some], nulls, nulls, texts, low[some], high[some], many[some]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -425,10 +419,10 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     1. Every string samples one of its grams (`anchors`), and runs of strings share one; a first pass counts
        the grams, and a bit map of fixed size tells which may repeat.
     2. A second pass takes the suffixes from those grams on, with the bytes before them. Each task sorts its own
-       into runs, equal ones once, and sends them front-coded to the bucket of their gram.
+       into runs, equal ones once, and sends them front-coded and packed to the bucket of their gram.
     3. Each bucket merges its runs by a loser tree that goes by shared prefixes. Suffixes of a gram then stand
        together, and what they share on both sides tells which strings repeat (`repeated`).
-    4. The offsets go back to where the suffixes came from, and ranges of a text are joined.
+    4. A third pass names the suffixes of every text by hash, the offsets go back to them, and ranges are joined.
 
     A gram with more than ``group`` different surroundings does not go through one task: its strings meet by hash.
     """
@@ -436,8 +430,7 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     grams = _grams(docs)
     bits = spark.sparkContext.broadcast(_map_of(grams))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 8
-    both = written(_held(docs, bits, buckets), "suffix_runs")
-    runs = both.where("run IS NOT NULL").select("bucket", "run").repartition("bucket").sortWithinPartitions("bucket")
+    runs = _runs(docs, bits, buckets).repartition("bucket").sortWithinPartitions("bucket")
     found = written(_merged(runs, group), "repeated")
     plain = found.where("text IS NULL").select("id", "first", "last")
     crowd = found.where("text IS NOT NULL")
@@ -445,11 +438,11 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
         plain = plain.unionByName(_by_hash(crowd))
     # an id is 16 bytes; suffixes equal in two tasks have one id and the same offsets
     per = plain.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("offsets"))
-    places = both.where("row IS NOT NULL").select("row", F.posexplode(F.arrays_zip("lows", "grams")).alias("i", "p"), "ids").select(
-        "row", F.expr("substring(ids, i * 16 + 1, 16)").alias("id"), "p.grams"
+    places = _places(docs, bits).select("row", F.posexplode("grams").alias("i", "gram"), "ids").select(
+        "row", F.expr("substring(ids, i * 16 + 1, 16)").alias("id"), "gram"
     )
-    hit = places.join(per, "id").select("row", "grams", F.explode("offsets").alias("o"))
-    spans = hit.select("row", (F.col("grams") - F.col("o.last")).alias("start"), (F.col("grams") - F.col("o.first") + SPAN).alias("end"))
+    hit = places.join(per, "id").select("row", "gram", F.explode("offsets").alias("o"))
+    spans = hit.select("row", (F.col("gram") - F.col("o.last")).alias("start"), (F.col("gram") - F.col("o.first") + SPAN).alias("end"))
     return spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("raw")).select("row", _joined("raw").alias("spans"))
 
 
@@ -501,3 +494,18 @@ def digest(docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1:i + {SPAN}]) AS k FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - {SPAN - 1})) AS i FROM d WHERE octet_length(b) >= {SPAN})),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT *, i > coalesce(max(i + {SPAN}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS opens FROM r),
+g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s),
+p AS (SELECT doc_id, n, min(i) AS a, max(i) + {SPAN} AS z FROM g GROUP BY doc_id, n),
+e AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM p),
+k AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS n, string_agg(hex(b[last + 1:a]) || CASE WHEN next IS NULL THEN hex(b[z + 1:octet_length(b)]) ELSE '' END, '' ORDER BY a) AS rest FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(CASE WHEN rest IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -150,8 +150,8 @@ def test_merge_goes_by_known_prefixes():
             shared, rests, sizes = suffixes.front_coded(strings)
             runs.append(suffixes.Run(np.array(shared, np.int64), rests, np.array(sizes, np.int64)))
         out, last = [], b""
-        for run, place, shared in suffixes.merge(runs):
-            s = lists[run][place]
+        for run, place, shared, s in suffixes.merge(runs):
+            assert s == lists[run][place]
             assert shared == suffixes.common(last, s, 0)
             out.append(s)
             last = s
