@@ -207,3 +207,35 @@ def test_shared_passages(docs_of):
     for r in got:
         if r["doc_id"] in range(12):
             assert " ".join(texts[r["doc_id"]][r["start"] : r["end"]]) == exact_
+
+
+@pytest.mark.parametrize("gap", [100, 300, 1000])
+def test_every_passage_of_a_chain(docs_of, gap):
+    """Also where the first ends, and the last begins, with an edit and 15 words that hold no seed."""
+    r = random.Random(gap)
+    new = lambda n: prose(r.random(), n, vocabulary=5000)
+    one, two, three = new(60), new(60), new(60)
+    edited = lambda t, at: " ".join([*t.split(" ")[:at], "changed", *t.split(" ")[at + 1 :]])
+    rows = [(i, f"{new(40)} {a} {new(gap)} {two} {new(gap + 7 * i)} {b} {new(30)}") for i, (a, b) in enumerate([(one, three), (edited(one, 44), edited(three, 15)), (one, three)])]
+    rows += [(10, f"{new(20)} {four} {new(gap)} {five}") for four, five in [(new(60), new(70))]]
+    rows += [(11, f"{rows[3][1].split(' ', 20)[20]} {new(40)}"), (12, f"{' '.join(rows[3][1].split(' ')[20:80])} {new(gap)} {' '.join(rows[3][1].split(' ')[-70:])}")]
+    got = passages.shared_passages(docs_of(rows)).collect()
+    words = {i: t.split(" ") for i, t in rows}
+    spans = lambda i: sorted((x["start"], x["end"]) for x in got if i == x["doc_id"]) + sorted((x["ref_start"], x["ref_end"]) for x in got if i == x["ref_id"])
+    start = lambda i, part: next(k for k in range(len(words[i])) if words[i][k : k + 14] == part[:14])
+    for i in range(3):
+        for part in (one, two, three):
+            at = start(i, part.split(" "))
+            assert (at, at + 60) in spans(i), (i, at, spans(i))
+    assert {(0, 60), (60 + gap, 130 + gap)} <= set(spans(12))
+
+
+def test_passages_beside_a_longer_stretch_that_is_none():
+    """A shared stretch under 50 words that scores best hides no passage with edits before or behind it."""
+    r = random.Random(4)
+    noise = lambda n: [r.randrange(1 << 30) for _ in range(n)]
+    fuzzy, line = noise(60), noise(49)
+    other = [*fuzzy[:20], *noise(1), *fuzzy[21:]]
+    a, b = [*fuzzy, *noise(300), *line, *noise(300), *fuzzy], [*other, *noise(300), *line, *noise(300), *other]
+    got = passages.passages(a, b, [30, 370, 739], [30, 370, 739])
+    assert sorted(g[:4] for g in got) == [(0, 60, 0, 60), (709, 769, 709, 769)]
