@@ -239,3 +239,20 @@ def test_passages_beside_a_longer_stretch_that_is_none():
     a, b = [*fuzzy, *noise(300), *line, *noise(300), *fuzzy], [*other, *noise(300), *line, *noise(300), *other]
     got = passages.passages(a, b, [30, 370, 739], [30, 370, 739])
     assert sorted(g[:4] for g in got) == [(0, 60, 0, 60), (709, 769, 709, 769)]
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK, 7])
+def test_passages_round_a_frequent_line(docs_of, block):
+    """Two texts each agree beyond a line of 42 words that all have: by 5 words on either side, or 16 words behind an edit."""
+    r = random.Random(11)
+    new = lambda n: prose(r.random(), n, vocabulary=5000)
+    line = new(42)
+    rows = [(i, f"{new(60)} {line} {new(60)}") for i in range(20)]
+    for i in range(20, 40, 2):
+        before, behind = new(5), new(5)
+        rows += [(k, f"{new(60)} {before} {line} {behind} {new(60)}") for k in (i, i + 1)]
+    for i in range(40, 50, 2):
+        behind = new(16)
+        rows += [(k, f"{new(60)} {line} {new(1)} {behind} {new(60)}") for k in (i, i + 1)]
+    got = passages.shared_passages(docs_of(rows), block).collect()
+    assert sorted((min(x["doc_id"], x["ref_id"]), max(x["doc_id"], x["ref_id"])) for x in got) == [(i, i + 1) for i in range(20, 50, 2)]
