@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, decontaminate, exact, passages, pii, secrets, simhash, suffixes, toxicity, urls
+from portolan.llm import bpe, conversations, decontaminate, exact, mixing, passages, pii, secrets, simhash, suffixes, toxicity, urls, variants
 
 #: The ranks that op2 and the pipeline encode with.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,9 +57,35 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.digest(table(spark, folder, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.digest(table(spark, folder, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.digest(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_byte_bpe, op3_simhash_dedup, op4_exact_dedup, op5_decontamination, op6_shared_passages, op7_url_filter, op8_suffix_dedup, op9_personal_data, op10_toxicity)
+    for f in (
+        op1_secret_scan,
+        op2_byte_bpe,
+        op3_simhash_dedup,
+        op4_exact_dedup,
+        op5_decontamination,
+        op6_shared_passages,
+        op7_url_filter,
+        op8_suffix_dedup,
+        op9_personal_data,
+        op10_toxicity,
+        op11_source_mix,
+        op12_spelling_variants,
+        op13_conversation_trie,
+    )
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
@@ -67,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_url_filter": urls.ORACLE,
     "op8_suffix_dedup": suffixes.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
+    "op13_conversation_trie": conversations.ORACLE,
 }
