@@ -17,7 +17,7 @@ WORD = "[^ \\t-\\r]+"
 BLOCK, SHARD = 1024, 1024
 #: Weights of the sources in their order, repeating; no source is taken more often than `MOST` times.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Sources whose counts one draw divides, and rows that one task puts in order.
+#: Sources whose counts one draw divides, and shards that one task puts in order.
 BUNDLE, CHUNK = 4096, 50_000
 SEED = 11
 
@@ -181,10 +181,11 @@ def packed(rows: DataFrame, count: int, sources: DataFrame, ids: list[str], bloc
 
     A source's documents lie one after another, by a hash of ``ids``, then by ``ids``; ``n`` equal ones are one row until here.
     Gives ``no, start, ids.., block, at, until``: one row per document and block it touches, ``start`` naming the document within
-    the source, ``at`` and ``until`` its words within the block. ``count`` sizes the chunks that a task puts in order.
+    the source, ``at`` and ``until`` its words within the block. Of ``count`` rows about the square root makes a chunk that a task
+    puts in order, and as many chunks are put in order after that.
     """
     numbered = rows.where("size > 0").join(sources.select(F.col("source").alias("of"), "no"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    chunked = numbered.withColumn("chunk", F.pmod(F.xxhash64(*ids), F.lit(max(1, count // CHUNK))))
+    chunked = numbered.withColumn("chunk", F.pmod(F.xxhash64(*ids), F.lit(int(count**0.5) + 1)))
     put = _before(chunked, "no", "chunk", ids, F.col("size") * F.col("n"), "first")
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     each = put.withColumn("copy", copy).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
