@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions import versions
-from portolan.operators import graph
-from portolan.operators.rank import first_n_per_group
+from portolan.operators import condense, graph
+from portolan.operators.rank import first_n_per_group, with_rank
 from portolan.operators.textjoin import text_join
+from portolan.session import RoundTable, written
 
 GA = ["group_id", "artifact_id"]
 
@@ -22,27 +23,51 @@ def _known() -> Column:
     return F.col("version").isNotNull() & (F.col("version") != "") & (F.col("version") != "*")
 
 
+#: A version dictionary of at most so many rows is sent to every task.
+MAX_VERSIONS = 100_000
+
+
+def version_dictionary(rows: DataFrame) -> DataFrame:
+    """Every distinct non-null ``version`` of ``rows`` parsed once: ``version, valid, major, minor, pre, release, place``.
+
+    ``place`` is the version's rank in version order, equal for versions that compare equal and null for invalid ones, so the
+    grammar runs once per version and comparisons are between numbers.
+    """
+    v = F.col("version")
+    seen = rows.where(v.isNotNull()).select("version").distinct()
+    parsed = seen.select("version", versions.is_version(v).alias("valid"), versions.major(v).alias("major"), versions.minor(v).alias("minor"), versions.is_prerelease(v).alias("pre"), versions.version_key(v).alias("key"))
+    parsed = written(parsed, "versions")
+    order = with_rank(parsed.where("valid").select("key").distinct().withColumn("all", F.lit(0)), ["all"], ["key"], "place").select("key", F.col("place").cast("long").alias("place"))
+    out = parsed.join(order, "key", "left").select("version", "valid", "major", "minor", "pre", F.col("key.release").alias("release"), "place")
+    table = RoundTable(rows.sparkSession, "dictionary")
+    known = table.add(out)
+    return F.broadcast(known) if table.rows <= MAX_VERSIONS else known
+
+
 def version_conflicts(deps: DataFrame, keys: list[str] = GA, ignore_empty: bool = False) -> DataFrame:
-    """Artifacts asked for in more than one version, with severity."""
+    """Artifacts asked for in more than one version, with severity; rows are counted per version before versions are looked at."""
     d = deps.where(_known()) if ignore_empty else deps
-    v = F.when(_known(), F.col("version"))
+    per = written(d.groupBy(*keys, "version").agg(F.count("*").alias("n")), "per_version")
+    v = _known()
     return (
-        d.groupBy(*keys)
+        per.join(version_dictionary(per.where(v)), "version", "left")
+        .groupBy(*keys)
         .agg(
-            F.count_distinct("version").alias("version_count"),
-            F.count("*").alias("dependency_count"),
-            F.count(v).alias("_given"),
-            F.count_distinct(versions.major(v)).alias("_majors"),
-            F.count_distinct(versions.minor(v)).alias("_minors"),
-            F.bool_or(versions.is_prerelease(v)).alias("_pre"),
-            F.bool_or(~versions.is_version(v)).alias("_bad"),
+            F.count("version").alias("version_count"),
+            F.sum("n").alias("dependency_count"),
+            F.count_if(v).alias("_given"),
+            F.min("major").alias("_low"),
+            F.max("major").alias("_high"),
+            F.count_distinct("minor").alias("_minors"),
+            F.bool_or("pre").alias("_pre"),
+            F.bool_or(~F.col("valid")).alias("_bad"),
         )
         .where("version_count > 1")
         .withColumn(
             "severity",
             F.when(F.coalesce("_bad", F.lit(False)), "medium")
             .when(F.col("_given") == 0, "low")
-            .when(F.col("_majors") > 1, "critical")
+            .when(F.col("_low") < F.col("_high"), "critical")
             .when(F.col("_minors") > 2, "high")
             .when(F.coalesce("_pre", F.lit(False)), "high")
             .otherwise("medium"),
@@ -59,23 +84,24 @@ def conflicting_versions(deps: DataFrame) -> DataFrame:
 
 
 def conflict_impact(deps: DataFrame) -> DataFrame:
-    """size, depths, scopes and risk of each conflict."""
-    v = F.when(_known(), F.col("version"))
-    key = versions.version_key(v)
-    part = lambda s, i: F.coalesce(F.get(s["release"], i), F.lit(0).cast("bigint"))
-    low, high = F.col("_low"), F.col("_high")
-    fine = ~F.coalesce("_bad", F.lit(False)) & low.isNotNull()
+    """size, depths, scopes and risk of each conflict; rows are counted per version and scope first."""
+    part = lambda s, i: F.coalesce(F.get(F.col(s), i), F.lit(0).cast("bigint"))
+    fine = ~F.coalesce("_bad", F.lit(False)) & F.col("_low").isNotNull()
+    per = deps.groupBy(*GA, "version", "scope").agg(F.count("*").alias("n"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+    per = written(per, "per_version")
+    ends = lambda pick: pick("release", "place")
     return (
-        deps.groupBy(*GA)
+        per.join(version_dictionary(per.where(_known())), "version", "left")
+        .groupBy(*GA)
         .agg(
             F.count_distinct("version").alias("_n"),
-            F.count("*").alias("affected_dependencies"),
-            F.min("depth").alias("min_depth"),
-            F.max("depth").alias("max_depth"),
+            F.sum("n").alias("affected_dependencies"),
+            F.min("min_depth").alias("min_depth"),
+            F.max("max_depth").alias("max_depth"),
             F.count_distinct("scope").alias("scope_count"),
-            F.min(key).alias("_low"),
-            F.max(key).alias("_high"),
-            F.bool_or(~versions.is_version(v)).alias("_bad"),
+            ends(F.min_by).alias("_low"),
+            ends(F.max_by).alias("_high"),
+            F.bool_or(~F.col("valid")).alias("_bad"),
         )
         .where("_n > 1")
         .select(
@@ -84,8 +110,8 @@ def conflict_impact(deps: DataFrame) -> DataFrame:
             "min_depth",
             "max_depth",
             "scope_count",
-            F.coalesce(fine & (part(low, 0) != part(high, 0)), F.lit(False)).alias("breaking_changes_risk"),
-            F.coalesce(fine & (part(low, 0) == 0) & (part(low, 1) != part(high, 1)), F.lit(False)).alias("api_compatibility_risk"),
+            F.coalesce(fine & (part("_low", 0) != part("_high", 0)), F.lit(False)).alias("breaking_changes_risk"),
+            F.coalesce(fine & (part("_low", 0) == 0) & (part("_low", 1) != part("_high", 1)), F.lit(False)).alias("api_compatibility_risk"),
         )
     )
 
@@ -117,30 +143,30 @@ def resolve_conflicts(deps: DataFrame, strategy: str = "nearest", order: list[st
     with one version keep their first dependency.
     """
     first = [F.col(c) for c in order]
-    stats = deps.groupBy(*keys).agg(
-        F.count_distinct("version").alias("_n"),
-        F.count("*").alias("candidates"),
-        F.bool_or(~versions.is_version(F.col("version"))).alias("_bad"),
-    )
+    compared = strategy in ("newest", "oldest")
+    per = written(deps.groupBy(*keys, "version").agg(F.count("*").alias("n")), "per_version")
+    known = version_dictionary(per).select("version", "valid", "place") if compared else None
+    bad = F.bool_or(~F.col("valid")) if compared else F.lit(False)
+    stats = (per.join(known, "version", "left") if compared else per).groupBy(*keys).agg(F.count("version").alias("_n"), F.sum("n").alias("candidates"), bad.alias("_bad"))
     d = deps.join(stats, keys)
     conflict = F.col("_n") > 1
     if strategy == "fail":
         coords = F.concat_ws(":", *keys)
         d = d.withColumn("candidates", F.when(conflict, F.raise_error(F.concat(F.lit("unresolved conflict: "), coords)).cast("bigint")).otherwise(F.col("candidates")))
         return first_n_per_group(d, keys, first, 1).drop("_n", "_bad")
-    key = versions.version_key(F.col("version"))
     nearest = F.when(conflict, F.col("depth"))
     if strategy == "nearest":
         by = [nearest.asc()]
-    elif strategy in ("newest", "oldest"):
-        parsed, plain = F.when(conflict & ~F.col("_bad"), key), F.when(conflict & F.col("_bad"), F.col("version"))
+    elif compared:
+        d = d.join(known.select("version", F.col("place").alias("_place")), "version", "left")
+        parsed, plain = F.when(conflict & ~F.col("_bad"), F.col("_place")), F.when(conflict & F.col("_bad"), F.col("version"))
         by = [parsed.desc(), plain.desc()] if strategy == "newest" else [parsed.asc(), plain.asc()]
     elif strategy == "managed":
         by = [F.when(conflict, ~F.coalesce("managed", F.lit(False))).asc(), F.when(conflict & ~F.col("managed"), F.col("depth")).asc()]
     else:
         raise ValueError(f"unknown strategy {strategy}")
     won = first_n_per_group(d, keys, [*by, *first], 1)
-    return won.withColumn("conflict_resolution", F.when(conflict, strategy)).drop("_n", "_bad")
+    return won.select(*deps.columns, "candidates", F.when(conflict, strategy).alias("conflict_resolution"))
 
 
 def grade(score: Column) -> Column:
@@ -155,20 +181,22 @@ def dependency_health(counts: DataFrame) -> DataFrame:
     return counts.withColumn("health_score", score).withColumn("grade", grade(F.col("health_score")))
 
 
-def graph_structure(paths: DataFrame) -> DataFrame:
-    """nodes, depths and complexity over paths ``(node, depth, path)``."""
-    stats = paths.agg(
-        F.count_distinct("node").alias("total_nodes"),
-        F.count("*").alias("total_paths"),
-        F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"),
-        F.coalesce(F.avg("depth"), F.lit(0.0)).alias("average_depth"),
+def graph_structure(edges: DataFrame) -> DataFrame:
+    """nodes that paths lead to, number and depths of the simple paths, and complexity; paths are counted, not listed."""
+    nodes = edges.where("src <> dst").agg(F.count_distinct("dst").alias("total_nodes"))
+    stats = condense.path_counts(edges).agg(
+        F.coalesce(F.sum("paths"), F.lit(0)).cast("double").alias("p"),
+        F.coalesce(F.sum("paths"), F.lit(0)).cast("long").alias("total_paths"),
+        F.coalesce(F.max("deepest"), F.lit(0)).alias("max_depth"),
+        F.coalesce(F.sum("depths"), F.lit(0)).cast("double").alias("depths"),
     )
     one = F.lit(1.0)
-    n = F.col("total_nodes")
-    score = (
-        F.least(F.col("max_depth") / 10.0, one) + F.least(F.try_divide(F.col("total_paths"), n * 3), one) + F.least(n / 100.0, one)
-    ) / 3.0 * 100
-    return stats.withColumn("complexity_score", F.when(n > 0, score).otherwise(0.0))
+    n, p = F.col("total_nodes"), F.col("p")
+    score = (F.least(F.col("max_depth") / 10.0, one) + F.least(F.try_divide(p, n * 3), one) + F.least(n / 100.0, one)) / 3.0 * 100
+    both = nodes.unionByName(stats, allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    average = F.coalesce(F.try_divide("depths", "p"), F.lit(0.0)).alias("average_depth")
+    return row.select("total_nodes", "total_paths", "max_depth", average, F.when(n > 0, score).otherwise(0.0).alias("complexity_score"))
 
 
 def scope_distribution(deps: DataFrame) -> DataFrame:
@@ -176,10 +204,9 @@ def scope_distribution(deps: DataFrame) -> DataFrame:
     return deps.groupBy("scope").agg(F.count("*").alias("dependencies"))
 
 
-def path_hubs(paths: DataFrame, n: int = 10) -> DataFrame:
-    """the nodes most paths run through."""
-    seen = paths.select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("paths"))
-    return seen.orderBy(F.desc("paths"), "node").limit(n)
+def path_hubs(edges: DataFrame, n: int = 10) -> DataFrame:
+    """the nodes most simple paths run through."""
+    return condense.path_shares(edges).withColumn("paths", F.col("paths").cast("long")).orderBy(F.desc("paths"), "node").limit(n)
 
 
 def optimization_opportunities(conflicts: DataFrame, paths: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -238,20 +265,25 @@ def vulnerability_health(repo_roots: DataFrame, edges: DataFrame, vulnerabilitie
     return out.withColumn("health_score", (1.0 - F.col("vulnerable_deps") / F.col("total_deps")) * 100).orderBy("health_score", "repo")
 
 
-def reached_licenses(repo_roots: DataFrame, closure: DataFrame, licenses: DataFrame) -> DataFrame:
-    """Licenses each repository artifact reaches, with the number of dependencies under each."""
-    reached = closure.where("root <> node").join(licenses.select(F.col("artifact").alias("node"), "license"), "node")
-    per_root = reached.groupBy("root", "license").agg(F.count_distinct("node").alias("dependencies"))
-    return per_root.join(repo_roots.select("repo", F.col("artifact").alias("root")).distinct(), "root")
+def reached_licenses(repo_roots: DataFrame, edges: DataFrame, licenses: DataFrame) -> DataFrame:
+    """Licenses each repository artifact reaches, with the number of dependencies under each.
+
+    What an artifact reaches is a set of bits, and a license one too; their overlap is counted.
+    """
+    marks = condense.bits_of(licenses.select(F.col("artifact").alias("node"), "license").distinct(), "node")
+    roots = repo_roots.select("repo", F.col("artifact").alias("root")).distinct()
+    reached = condense.others_bits(edges, marks.select("node", "word", "bit").distinct()).withColumnRenamed("node", "root")
+    held = condense.counted_bits(reached.join(roots.select("root").distinct(), "root", "left_semi"), ["root"], marks, ["license"])
+    return held.withColumnRenamed("n", "dependencies").join(roots, "root")
 
 
-def license_conflicts(repo_roots: DataFrame, closure: DataFrame, licenses: DataFrame, incompatible: DataFrame) -> DataFrame:
+def license_conflicts(repo_roots: DataFrame, edges: DataFrame, licenses: DataFrame, incompatible: DataFrame) -> DataFrame:
     """Licenses that must not meet but are both reached from one artifact.
 
     One row per repository, artifact and license pair, with the dependencies on each
     side counted instead of paired.
     """
-    held = reached_licenses(repo_roots, closure, licenses)
+    held = written(reached_licenses(repo_roots, edges, licenses), "licenses")
     other = held.select("repo", "root", F.col("license").alias("conflicting"), F.col("dependencies").alias("conflicting_dependencies"))
     return (
         held.join(incompatible, "license")
@@ -260,9 +292,13 @@ def license_conflicts(repo_roots: DataFrame, closure: DataFrame, licenses: DataF
     )
 
 
-def licenses_by_repository(repo_roots: DataFrame, closure: DataFrame, licenses: DataFrame) -> DataFrame:
-    """One row per repository and license it reaches."""
-    return reached_licenses(repo_roots, closure, licenses).select("repo", "license").distinct()
+def licenses_by_repository(repo_roots: DataFrame, edges: DataFrame, licenses: DataFrame) -> DataFrame:
+    """One row per repository and license it reaches. A repository's sets are joined before they meet the licenses."""
+    marks = condense.bits_of(licenses.select(F.col("artifact").alias("node"), "license").distinct(), "node")
+    reached = condense.others_bits(edges, marks.select("node", "word", "bit").distinct())
+    roots = repo_roots.select("repo", F.col("artifact").alias("node")).distinct()
+    per = reached.join(roots, "node").groupBy("repo", "word").agg(F.bit_or("bits").alias("bits"))
+    return condense.counted_bits(per, ["repo"], marks, ["license"]).select("repo", "license")
 
 
 def unused_dependencies(repo_deps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,14 +333,18 @@ def duplicate_artifacts(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def closure_conflicts(closure: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """Artifacts a root reaches in more than one version. ``coordinates`` has ``node, group_id, artifact_id, version``."""
-    return (
-        closure.join(coordinates, "node")
-        .groupBy("root", *GA)
-        .agg(F.count_distinct("version").alias("version_count"))
-        .where("version_count > 1")
-    )
+def closure_conflicts(edges: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """Artifacts a root reaches in more than one version. ``coordinates`` has ``node, group_id, artifact_id, version``.
+
+    Every version of an artifact is a bit, those of one artifact next to each other; null versions do not count.
+    """
+    known = coordinates.where("version IS NOT NULL").select("node", *GA, "version").distinct()
+    versions = condense.bits_of(written(known.select(F.struct(*GA, "version").alias("is")).distinct(), "versions"), "is").select("is", "word", "bit")
+    versions = written(versions, "version_bits")
+    own = known.withColumn("is", F.struct(*GA, "version")).join(versions, "is").groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    marks = versions.select("word", "bit", *[F.col("is")[c].alias(c) for c in GA])
+    held = condense.counted_bits(condense.reach_bits(edges, own), ["node"], marks, GA)
+    return held.where("n > 1").select(F.col("node").alias("root"), *GA, F.col("n").alias("version_count"))
 
 
 def dependency_tree(paths: DataFrame) -> DataFrame:

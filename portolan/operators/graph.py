@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portolan.operators.condense import bits_of, cyclic_core, longest_paths, others_bits, plain_links, strong_components
 from portolan.session import RoundTable, written
 
 
@@ -91,47 +92,25 @@ def paths(
 
 
 def reach_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Direct, total and transitive dependency counts per node with an outgoing edge."""
-    return (
-        reach(edges, max_depth=max_depth)
-        .where("root <> node")
-        .groupBy(F.col("root").alias("node"))
-        .agg(
-            F.count_if(F.col("depth") == 1).alias("direct_deps"),
-            F.count("*").alias("total_deps"),
-            F.count_if(F.col("depth") > 1).alias("transitive_deps"),
-        )
-    )
-
-
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without an incoming or an outgoing edge are peeled off.
+    """Direct, total and transitive dependency counts per node with an outgoing edge.
 
-    Every cycle lives inside the core, so cycle work can start from it.
+    Without a depth the counts come from sets of bits; up to a depth from the closure that far.
     """
-    peeled = RoundTable(edges.sparkSession, "core")
-    core = peeled.add(edges.where("src <> dst").select("src", "dst").distinct())
-    size = peeled.rows
-    while size:
-        inner = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
-        )
-        core = peeled.add(inner.select("src", "dst"))
-        if peeled.rows == size:
-            break
-        size = peeled.rows
-    return core
+    if max_depth is not None:
+        near = reach(edges, max_depth=max_depth).where("root <> node").groupBy(F.col("root").alias("node"))
+        return near.agg(F.count_if(F.col("depth") == 1).alias("direct_deps"), F.count("*").alias("total_deps"), F.count_if(F.col("depth") > 1).alias("transitive_deps"))
+    links = plain_links(edges)
+    nodes = bits_of(links.select(F.col("dst").alias("node")).distinct(), "node")
+    total = others_bits(links, nodes).groupBy("node").agg(F.sum(F.bit_count("bits")).alias("total_deps"))
+    direct = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("direct_deps"))
+    return direct.join(total, "node").select("node", "direct_deps", "total_deps", (F.col("total_deps") - F.col("direct_deps")).alias("transitive_deps"))
 
 
 def circular_pairs(edges: DataFrame) -> DataFrame:
-    """Pairs ``node_a < node_b`` that reach each other."""
-    closure = reach(cyclic_core(edges)).where("root <> node")
-    back = closure.select(F.col("node").alias("node_a"), F.col("root").alias("node_b"))
-    return (
-        closure.where("root < node")
-        .select(F.col("root").alias("node_a"), F.col("node").alias("node_b"))
-        .join(back, ["node_a", "node_b"], "left_semi")
-    )
+    """Pairs ``node_a < node_b`` that reach each other, that is of one strong component."""
+    part = written(strong_components(edges), "strong")
+    other = part.select(F.col("node").alias("node_b"), "component")
+    return part.withColumnRenamed("node", "node_a").join(other, "component").where("node_a < node_b").select("node_a", "node_b")
 
 
 def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -140,28 +119,25 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     Rows ``(cycle_path, path_length, severity)``; the path repeats the start at its
     end and severity is high when it has more than five entries. A node with an edge
     to itself is a cycle of one node. ``max_len`` bounds the number of distinct nodes;
-    without it the search runs until no open path is left.
+    without it the search runs until no open path is left. A path stays inside the strong component of its start.
     """
     spark = edges.sparkSession
-    core = cyclic_core(edges)
+    part = written(strong_components(edges), "strong")
+    of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+    inside = plain_links(edges).join(of("src"), "src").join(of("dst"), "dst").where("src_part = dst_part").select("src", "dst")
+    inside = written(inside, "inside")
     loops = edges.where("src = dst").select(F.array("src", "dst").alias("cycle_path")).distinct()
-    rounds, pending = RoundTable(spark, "cycles"), RoundTable(spark, "open")
-    open_paths = pending.add(core.where("dst > src").select(F.array("src", "dst").alias("path")))
+    rounds = RoundTable(spark, "cycles")
+    end, start = F.element_at("path", -1), F.element_at("path", 1)
+    open_paths = rounds.add(inside.where("dst > src").select(F.array("src", "dst").alias("path"), F.lit(False).alias("closed")))
     length = 2
-    found = loops
-    while max_len is None or length <= max_len:
-        grown = open_paths.select("path", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"))
-        step = grown.join(core, F.col("end") == F.col("src"))
-        rounds.add(step.where("dst = start").select(F.array_append("path", F.col("dst")).alias("cycle_path")))
-        found = loops.unionByName(rounds.all())
-        open_paths = pending.add(
-            step.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select(
-                F.array_append("path", F.col("dst")).alias("path")
-            )
-        )
-        if not pending.rows:
-            break
+    while rounds.rows and (max_len is None or length <= max_len):
+        step = open_paths.select("path", start.alias("start"), end.alias("end")).join(inside, F.col("end") == F.col("src"))
+        onward = (F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))
+        grown = step.where((F.col("dst") == F.col("start")) | onward)
+        open_paths = rounds.add(grown.select(F.array_append("path", F.col("dst")).alias("path"), (F.col("dst") == F.col("start")).alias("closed"))).where("NOT closed")
         length += 1
+    found = loops.unionByName(rounds.all().where("closed").select(F.col("path").alias("cycle_path")))
     size = F.size("cycle_path")
     return found.select(
         "cycle_path", size.alias("path_length"), F.when(size > 5, "high").otherwise("medium").alias("severity")
@@ -169,15 +145,17 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
 
 
 def critical_paths(edges: DataFrame, n: int = 10, max_depth: int | None = None) -> DataFrame:
-    """The ``n`` longest simple paths that cannot be extended, more than two nodes each."""
-    every = paths(edges, max_depth=max_depth)
-    onward = every.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).where(
-        ~F.array_contains("path", F.col("dst"))
-    )
-    ends = every.where("size(path) > 2").join(onward.select("path").distinct(), "path", "left_anti")
-    return (
-        ends.select("path", F.size("path").alias("path_length")).orderBy(F.desc("path_length"), "path").limit(n)
-    )
+    """The ``n`` longest simple paths that cannot be extended, more than two nodes each.
+
+    Without a depth only the best paths of every node are kept (`longest_paths`); up to a depth all are listed that far.
+    """
+    if max_depth is None:
+        ends = longest_paths(edges, n).where("size(path) > 2")
+    else:
+        every = paths(edges, max_depth=max_depth)
+        onward = every.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        ends = every.where("size(path) > 2").join(onward.select("path").distinct(), "path", "left_anti")
+    return ends.select("path", F.size("path").alias("path_length")).orderBy(F.desc("path_length"), "path").limit(n)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -221,7 +199,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Links of one stuck group that a single task takes; larger groups go node by node through Spark.
-GROUP_LINKS = 1_000_000
+GROUP_LINKS = 100_000
 
 
 def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "weight", group_links: int = GROUP_LINKS) -> DataFrame:
@@ -229,7 +207,7 @@ def waves(nodes: DataFrame, edges: DataFrame, key: str = "node", weight: str = "
 
     A source waits for its targets. What cycles hold up falls into connected groups, which do not wait for
     each other: a group starts when all that it waits for outside is done, and whenever nothing in it
-    is free its lightest node (ties by key) is released alone. Free nodes take a round per
+    is free its lightest node (ties by key; null and NaN are lightest of all) is released alone. Free nodes take a round per
     wave; each stuck group is worked through in one task, as long as it has at most ``group_links`` links.
     """
     spark = nodes.sparkSession
@@ -317,12 +295,14 @@ def _stepwise(members: DataFrame, links: DataFrame, cols: list[str], key: str, w
     left = RoundTable(spark, "large")
     todo = left.add(members.select("component", "base", *cols))
     links = written(links.select("component", "src", "dst"), "links")
+    known = F.col(weight).cast("double")
+    known = F.when(~F.isnan(known), known)
     step = 0
     while left.rows:
         step += 1
         free = todo.join(links.select(F.col("src").alias(key)).distinct(), key, "left_anti")
         stalled = todo.join(free.select("component").distinct(), "component", "left_anti")
-        lightest = stalled.groupBy("component").agg(F.min(F.struct(F.col(weight).isNotNull().alias("has"), weight, key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+        lightest = stalled.groupBy("component").agg(F.min(F.struct(known.isNotNull().alias("has"), known.alias("known"), key)).alias("m")).select(F.col(f"m.{key}").alias(key))
         out = written(free.select(key).unionByName(lightest), "released")
         done.add(todo.join(out, key, "left_semi").select(*cols, (F.col("base") + step).cast("int").alias("wave")))
         todo = left.add(todo.join(out, key, "left_anti").select("component", "base", *cols))

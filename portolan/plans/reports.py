@@ -182,10 +182,15 @@ def keyword_domain_map(repos: DataFrame, components: DataFrame) -> DataFrame:
 
 def shared_dependencies(repo_artifacts: DataFrame, least: int = 2) -> DataFrame:
     """artifacts two or more repositories use. The latest version is the largest as text."""
-    per = repo_artifacts.groupBy("group_id", "artifact_id").agg(
-        F.count_distinct("repo").alias("usage_count"), F.count_distinct("version").alias("version_count"), F.max("version").alias("latest_version"),
-        F.count_distinct(F.when(F.split("version", r"\.")[0].rlike(r"^\d+$"), F.split("version", r"\.")[0].cast("bigint"))).alias("major_count"),
-    )
+    ga = ["group_id", "artifact_id"]
+    users = repo_artifacts.select(*ga, "repo").distinct().groupBy(*ga).agg(F.count("repo").alias("usage_count"))
+    head = F.split("version", r"\.")[0]
+    # the heads of distinct versions, not of rows
+    each = repo_artifacts.select(*ga, "version").distinct().withColumn("major", F.when(head.rlike(r"^\d+$"), head.cast("bigint")))
+    seen = each.groupBy(*ga, "major").agg(F.count("version").alias("n"), F.max("version").alias("latest"))
+    facts = seen.groupBy(*ga).agg(F.sum("n").alias("version_count"), F.max("latest").alias("latest_version"), F.count("major").alias("major_count"))
+    facts = facts.withColumnsRenamed({c: f"_{c}" for c in ga})
+    per = users.join(facts, F.col("group_id").eqNullSafe(F.col("_group_id")) & F.col("artifact_id").eqNullSafe(F.col("_artifact_id"))).drop("_group_id", "_artifact_id")
     kind = classify_first_match(F.concat_ws(":", "group_id", "artifact_id"), rules.DEPENDENCY_FRAMEWORK, "other")
     shared = per.where(F.col("usage_count") >= least).withColumns({"version_conflicts": F.col("version_count") > 1, "framework_type": kind})
     legacy, clash, n = F.col("framework_type").isin(rules.LEGACY_FRAMEWORKS), F.col("version_conflicts"), F.col("usage_count")

@@ -130,7 +130,7 @@ def _(t):
     SELECT n AS total_nodes, p AS total_paths, d AS max_depth, round(a, 6) AS average_depth,
            round((least(d / 10.0, 1) + least(p / (n * 3), 1) + least(n / 100.0, 1)) / 3 * 100, 6) AS complexity_score FROM s""")
 def _(t):
-    s = deps.graph_structure(graph.paths(t.dep_edges))
+    s = deps.graph_structure(t.dep_edges)
     return s.select("total_nodes", "total_paths", F.col("max_depth").cast("long").alias("max_depth"), *r6("average_depth", "complexity_score"))
 
 
@@ -143,7 +143,7 @@ def _(t):
     WITH RECURSIVE {PATHS}, n AS (SELECT unnest(path) AS node FROM trail)
     SELECT node, count(*) AS paths FROM n GROUP BY node ORDER BY paths DESC, node LIMIT 10""")
 def _(t):
-    return deps.path_hubs(graph.paths(t.dep_edges))
+    return deps.path_hubs(t.dep_edges)
 
 
 @query("optimization_opportunities", f"""
@@ -211,14 +211,14 @@ def incompatible(t):
     SELECT h.repo, h.root AS artifact, h.license, h.n AS dependencies, conflicting, o.n AS conflicting_dependencies
     FROM h JOIN inc ON h.license = inc.license JOIN h o ON o.repo = h.repo AND o.root = h.root AND o.license = conflicting""")
 def _(t):
-    return deps.license_conflicts(t.repo_artifacts, graph.reach(t.dep_edges, t.repo_artifacts.select("artifact")), t.licenses, incompatible(t))
+    return deps.license_conflicts(t.repo_artifacts, t.dep_edges, t.licenses, incompatible(t))
 
 
 @query("licenses_by_repository", f"""
     WITH RECURSIVE {CLOSURE}, {ROOTS}
     SELECT DISTINCT repo, license FROM roots JOIN closure ON roots.artifact = root AND root <> node JOIN licenses l ON l.artifact = node""")
 def _(t):
-    return deps.licenses_by_repository(t.repo_artifacts, graph.reach(t.dep_edges, t.repo_artifacts.select("artifact")), t.licenses)
+    return deps.licenses_by_repository(t.repo_artifacts, t.dep_edges, t.licenses)
 
 
 @query("unused_dependencies", """
@@ -249,7 +249,7 @@ def _(t):
     SELECT root, group_id, artifact_id, count(DISTINCT p_size) AS version_count FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT p_size) > 1""")
 def _(t):
     c = t.sql("SELECT id AS node, p_brand AS group_id, p_type AS artifact_id, p_size AS version FROM artifacts JOIN part ON part = p_partkey")
-    return deps.closure_conflicts(graph.reach(t.dep_edges), c)
+    return deps.closure_conflicts(t.dep_edges, c)
 
 
 @query("dependency_tree", f"""

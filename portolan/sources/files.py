@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions.chunking import line_chunks
 from portolan.functions.text import detect_language, is_excluded, line_count
+from portolan.session import written
 
 # fixed values: what is read unless told otherwise
 INCLUDE = [f"**/*.{x}" for x in "java py js ts jsx tsx go rs cpp c h hpp cs php rb scala kt swift".split()]
@@ -29,28 +30,41 @@ def is_included(path: Column, patterns: list[str]) -> Column:
     return path.rlike("|".join(include_regex(p) for p in patterns)) if patterns else F.lit(True)
 
 
-def _listed(spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: list[str] | None, stream: bool) -> DataFrame:
-    """All wanted files as ``(repository, path, length, modified, bytes)``, whatever their size."""
+#: Changed files whose paths go into a scan's file filter; beyond it a look reads every wanted file.
+MAX_PATHS = 10_000
+
+
+def _listed(
+    spark: SparkSession, root: str, include: list[str], exclude: list[str], extensions: list[str] | None, stream: bool, max_bytes: int | None = None, only: list[str] | None = None
+) -> DataFrame:
+    """All wanted files as ``(repository, path, length, modified, bytes, uri)``.
+
+    What is wanted is told from a file's metadata, so the scan drops other files while it lists, and none of them is
+    opened. Without ``bytes`` no file is opened at all. ``only`` names files by their ``uri``.
+    """
     reader = spark.readStream if stream else spark.read
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true")
     kinds = [re.fullmatch(r"\*\*/(\*\.\w+)", p) for p in include]
     if include and all(kinds):
-        # tested on the names while listing, so other files are never opened
+        # tested on the names while listing
         reader = reader.option("pathGlobFilter", "{" + ",".join(k[1] for k in kinds) + "}")
     if stream:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
     files = reader.load(root)
+    uri = F.col("_metadata.file_path")
     base = re.escape("/" + root.split("://")[-1].strip("/").split("/", 1)[-1]) if "://" in root else re.escape("/" + root.strip("/"))
-    inner = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^(?:[a-z0-9]+:)?.*?{base}/(.*)$", 1)
-    files = files.select(
-        F.split(inner, "/", 2)[0].alias("repository"), F.get(F.split(inner, "/", 2), 1).alias("path"), "length",
-        F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"),
-    )
-    path = F.col("path")
-    files = files.where(path.isNotNull() & is_included(path, include) & ~is_excluded(path, exclude))
+    inner = F.regexp_extract(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), rf"^(?:[a-z0-9]+:)?.*?{base}/(.*)$", 1)
+    repository, path = F.split(inner, "/", 2)[0], F.get(F.split(inner, "/", 2), 1)
+    wanted = [path.isNotNull(), is_included(path, include), ~is_excluded(path, exclude)]
     if extensions:
-        files = files.where(F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin([e.lower() for e in extensions]))
-    return files
+        wanted.append(F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin([e.lower() for e in extensions]))
+    if max_bytes is not None:
+        wanted.append(F.col("_metadata.file_size") <= max_bytes)
+    if only is not None:
+        wanted.append(uri.isin(only))
+    for test in wanted:
+        files = files.where(test)
+    return files.select(repository.alias("repository"), path.alias("path"), "length", F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"), uri.alias("uri"))
 
 
 def read_repo_files(
@@ -59,13 +73,16 @@ def read_repo_files(
 ) -> DataFrame:
     """A1: files below ``root`` as ``(repository, path, length, modified, bytes)``.
 
-    The first folder below ``root`` names the repository and paths are relative to it. Name
-    suffixes and a size bound are tested before a file is opened; files in excluded
-    folders are opened and then dropped. ``max_bytes`` bounds the size only if given, and
+    The first folder below ``root`` names the repository and paths are relative to it. Names, folders and a
+    size bound are tested on the listing; only files that pass are opened. ``max_bytes`` bounds the size only if given, and
     `skipped_files` lists what it leaves out. With ``stream`` new files are read as they appear.
     """
-    files = _listed(spark, root, include, exclude, extensions, stream)
-    return files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    return _listed(spark, root, include, exclude, extensions, stream, max_bytes).drop("uri")
+
+
+def list_repo_files(spark: SparkSession, root: str, include: list[str] = INCLUDE, exclude: list[str] = EXCLUDE, max_bytes: int | None = None, extensions: list[str] | None = None) -> DataFrame:
+    """A1: the same files as ``(repository, path, length, modified, uri)``; none is opened."""
+    return _listed(spark, root, include, exclude, extensions, False, max_bytes).drop("bytes")
 
 
 def skipped_files(
@@ -88,8 +105,11 @@ def decode_text(files: DataFrame, col: str = "bytes", ignore_errors: bool = Fals
 
 def source_files(spark: SparkSession, root: str, **options) -> DataFrame:
     """Decoded files with language, lines and content hash."""
-    files = decode_text(read_repo_files(spark, root, **options))
-    return files.withColumns(
+    return _described(read_repo_files(spark, root, **options))
+
+
+def _described(files: DataFrame) -> DataFrame:
+    return decode_text(files).withColumns(
         {"language": detect_language(F.col("path"), F.col("content")), "lines": line_count(F.col("content")), "digest": F.sha2("content", 256)}
     )
 
@@ -116,3 +136,28 @@ def incremental_index(files: DataFrame, index: DataFrame, chunks: DataFrame) ->
     fresh = line_chunks(redo, keep=key)
     kept = chunks.join(gone, key, "left_anti").select(*fresh.columns)
     return files.select(*key, "digest"), kept.unionByName(fresh)
+
+
+def refreshed_index(spark: SparkSession, root: str, index: DataFrame, chunks: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """I16: the index ``(repository, path, length, modified, digest)`` and the chunks after a new look below ``root``.
+
+    Lists first: a file whose length and time are those of the index is unchanged and not opened. Only the others are
+    read; those with a new digest are cut again.
+    """
+    key = ["repository", "path"]
+    now = written(list_repo_files(spark, root, **options), "listed")
+    stamp = ["length", "modified"]
+    differ = now.join(index.select(*key, *stamp, F.lit(True).alias("_same")), [*key, *stamp], "left").where(F.col("_same").isNull()).drop("_same")
+    uris = [r.uri for r in differ.select("uri").limit(MAX_PATHS + 1).collect()]
+    defaults = {"include": INCLUDE, "exclude": EXCLUDE, "extensions": None, "max_bytes": None} | options
+    few = uris if len(uris) <= MAX_PATHS else None
+    opened = _described(_listed(spark, root, stream=False, only=few, **defaults).drop("uri")).join(differ.select(*key), key, "left_semi")
+    opened = written(opened, "opened")
+    then = index.select(*key, F.col("digest").alias("_then"))
+    redo = opened.join(then, key, "left").where(~F.col("digest").eqNullSafe(F.col("_then"))).drop("_then")
+    fresh = line_chunks(redo, keep=key)
+    gone = redo.select(*key).unionByName(index.select(*key).join(now.select(*key), key, "left_anti"))
+    kept = chunks.join(gone, key, "left_anti").select(*fresh.columns)
+    rest = index.join(opened.select(*key), key, "left_anti").join(now.select(*key), key, "left_semi")
+    columns = [*key, *stamp, "digest"]
+    return rest.select(*columns).unionByName(opened.select(*columns)), kept.unionByName(fresh)

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portolan.functions.chunking import line_chunks
 from portolan.operators import rank
 from portolan.session import scratch_root
-from portolan.sources.files import incremental_index, source_files
+from portolan.sources.files import read_repo_files, refreshed_index
 from portolan.streaming import events as ev
 
 WATERMARK = "10 minutes"
@@ -161,28 +162,20 @@ def live_status(updates: DataFrame, sink: Callable[[DataFrame, int], None], name
 def index_files(spark: SparkSession, root: str, sink: Callable[[DataFrame, DataFrame, int], None], name: str, **options):
     """I16: cut new and changed files as they appear; ``sink(index, chunks, epoch)`` gets the new state.
 
-    Each micro-batch of the file stream triggers one look at ``root``, so removals count too.
+    Each micro-batch of the file stream triggers one listing of ``root``, so removals count too; only files that
+    differ from the index by length or time are opened.
     """
     key = ["repository", "path"]
     files = Tail(spark, f"index-{name}")
     pieces = Tail(spark, f"chunks-{name}")
+    none = spark.createDataFrame([], "repository string, path string, length long, modified timestamp, digest string")
+    empty = line_chunks(spark.createDataFrame([], "repository string, path string, content string"), keep=key)
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        now = source_files(spark, root, **options)
-        none = now.select(*key, "digest")
-        index = files.before(epoch, none)
-        empty = incremental_index(now.limit(0), none.limit(0), _chunk_rows(now))[1]
-        new_index, new_chunks = incremental_index(now, index, pieces.before(epoch, empty))
-        files.put(epoch, new_index)
-        pieces.put(epoch, new_chunks)
+        index, chunks = refreshed_index(spark, root, files.before(epoch, none), pieces.before(epoch, empty), **options)
+        files.put(epoch, index)
+        pieces.put(epoch, chunks)
         sink(files.before(epoch + 1, none), pieces.before(epoch + 1, empty), epoch)
 
-    from portolan.sources.files import read_repo_files
-
+    # names only: the stream itself opens no file
     return read_repo_files(spark, root, stream=True, **options).select(*key).writeStream.foreachBatch(batch)
-
-
-def _chunk_rows(files: DataFrame) -> DataFrame:
-    from portolan.functions.chunking import line_chunks
-
-    return line_chunks(files.limit(0), keep=["repository", "path"])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from portolan.operators import dependencies as deps
+from portolan.plans import reports
 from portolan.sources import builds
 
 
@@ -75,3 +76,28 @@ def test_struts_config(spark):
     rows = builds.action_mappings(c).collect()
     assert [(r.path, r.type, r.scope, r.validate) for r in rows] == [("/a", "A", "request", "true"), ("/b", "B", "request", "true")]
     assert rows[0].forwards[0].redirect == "true" and c.first().global_forwards[0].name == "home"
+
+
+def test_versions_are_parsed_once_and_ranked(spark):
+    seen = ["1.0", "1.0.0", "1.0rc1", "2.0", "10.1", "x", "", "*", "1.0.dev1", "1.0.post1"]
+    df = spark.createDataFrame([(v,) for v in seen * 3 + [None]], "version string")
+    got = {r.version: r for r in deps.version_dictionary(df).collect()}
+    assert set(got) == set(seen)
+    order = sorted((v for v in seen if got[v].valid), key=lambda v: (got[v].place, v))
+    assert order == ["1.0.dev1", "1.0rc1", "1.0", "1.0.0", "1.0.post1", "2.0", "10.1"]
+    assert got["1.0"].place == got["1.0.0"].place and got["x"].place is None and got["10.1"].major == 10 and got["2.0"].minor == 0
+
+
+def test_conflicts_of_odd_versions(spark):
+    rows = [("a", "1.0"), ("a", "1.1"), ("a", "1.2"), ("b", "1.0"), ("b", "2.0"), ("c", "1.0"), ("c", "bad"), ("d", None), ("d", "1"), ("e", ""), ("e", "*")]
+    rows += [("f", "1.0"), ("f", "1.0rc1"), ("g", "1.0"), ("g", "1.0.1"), (None, "1"), (None, "2")]
+    df = spark.createDataFrame([("x", a, v) for a, v in rows * 2], "group_id string, artifact_id string, version string")
+    got = {r.artifact_id: (r.version_count, r.dependency_count, r.severity) for r in deps.version_conflicts(df).collect()}
+    assert got == {"a": (3, 6, "high"), "b": (2, 4, "critical"), "c": (2, 4, "medium"), "e": (2, 4, "low"), "f": (2, 4, "high"), "g": (2, 4, "medium"), None: (2, 4, "critical")}
+
+
+def test_shared_artifacts_with_null_coordinates(spark):
+    rows = [("r1", "g", "x", "1.0"), ("r2", "g", "x", "2.0"), ("r1", None, "y", "a"), ("r2", None, "y", None), ("r1", "g", "z", "1")]
+    df = spark.createDataFrame(rows, "repo string, group_id string, artifact_id string, version string")
+    got = {r.artifact_id: (r.usage_count, r.version_count, r.latest_version, r.major_count) for r in reports.shared_dependencies(df).collect()}
+    assert got == {"x": (2, 2, "2.0", 2), "y": (2, 1, "a", 0)}

@@ -39,6 +39,62 @@ def test_read_files(spark, repo):
     assert "big.py" in {r.path for r in files.source_files(spark, str(root)).collect()}
 
 
+def opened(df):
+    """Files the scan of ``df`` has opened: those it lists, where it reads contents."""
+    df.collect()
+    scans, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if "FileScan" in plan.nodeName() or plan.nodeName().startswith("Scan binaryFile"):
+            scans.append(plan)
+        kids = plan.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    (scan,) = scans
+    contents = "content" in scan.requiredSchema().fieldNames()
+    return scan.metrics().apply("numFiles").value() if contents else 0
+
+
+def test_only_wanted_files_are_opened(spark, repo):
+    root, put = repo
+    put("one/node_modules/x/y/Deep.java", "x")
+    put("one/.git/Objects.java", "x")
+    assert opened(files.read_repo_files(spark, str(root))) == 5
+    assert opened(files.read_repo_files(spark, str(root), max_bytes=1000)) == 4
+    assert opened(files.read_repo_files(spark, str(root), extensions=[".py"])) == 3
+    assert opened(files.read_repo_files(spark, str(root), include=["two/**/l*.py", "src/*.java"])) == 1
+    listed = files.list_repo_files(spark, str(root))
+    assert opened(listed) == 0 and listed.count() == 5
+
+
+@pytest.mark.parametrize("paths", [10_000, 0])
+def test_a_new_look_opens_changed_files_only(spark, repo, monkeypatch, paths):
+    root, put = repo
+    monkeypatch.setattr(files, "MAX_PATHS", paths)
+    read = []
+    listed = files._listed
+
+    def spy(*a, **b):
+        read.append(b.get("only"))
+        return listed(*a, **b)
+
+    monkeypatch.setattr(files, "_listed", spy)
+    none = spark.createDataFrame([], "repository string, path string, length long, modified timestamp, digest string")
+    empty = line_chunks(spark.createDataFrame([], "repository string, path string, content string"), keep=["repository", "path"])
+    index, chunks = files.refreshed_index(spark, str(root), none, empty)
+    index, chunks = index.cache(), chunks.cache()
+    assert index.count() == 5 and {r.path for r in chunks.collect()} == {r.path for r in index.collect()}
+    put("one/src/Main.java", "class Main { int x; }\n")
+    put("two/new.py", "import os")
+    (root / "two" / "big.py").unlink()
+    index2, chunks2 = files.refreshed_index(spark, str(root), index, chunks)
+    full = files.source_files(spark, str(root))
+    assert {tuple(r) for r in index2.select("repository", "path", "digest").collect()} == {tuple(r) for r in full.select("repository", "path", "digest").collect()}
+    want = line_chunks(full).select("id", "chunk").collect()
+    assert sorted(map(tuple, chunks2.select("id", "chunk").collect())) == sorted(map(tuple, want))
+    if paths:
+        assert sorted(u.rsplit("/", 1)[1] for u in read[-1]) == ["Main.java", "new.py"]
+
+
 def test_rejected_build_files(spark):
     pom = "<project><groupId>g</groupId><artifactId>{}</artifactId>{}</project>"
     rows = [("a", pom.format("a", "<version>1</version>")), ("b", pom.format("b", "")), ("c", "not xml"), ("d", None)]
