@@ -6,11 +6,14 @@ The patterns are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.functions import rules
-from portolan.functions.text import classify_first_match, let, struts_tag_purpose
+from portolan.functions import lexer, rules
+from portolan.functions.text import classify_first_match, detect_language, struts_tag_purpose
 
 # patterns, fixed values -----------------------------------------------------------
 SCRIPTLET = r"(?s)<%(?!@|--)\s*(.*?)\s*%>"
@@ -383,64 +386,65 @@ def resolve_properties(value: Column, properties: Column) -> Column:
     ).otherwise(value)
 
 
-# Line patterns per kind of definition, re-aimed at lines instead of a syntax tree
-DEFINITIONS = [
-    ("class_definition", r"^\s*(?:(?:public|private|protected|abstract|final|static|export|default)\s+)*(?:class|interface|trait|struct|enum)\s+(\w+)"),
-    ("function_definition", r"^\s*(?:(?:public|private|protected|static|final|async|export|pub|override)\s+)*(?:def|function|func|fn)\s+(\w+)"),
-    ("function_definition", r"^\s*(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\].]+\s+(\w+)\s*\("),
-    ("import", r"^\s*(?:import|from|use|require|#include|using)\s+[\"'<]?([\w.:/*\-]+)"),
-    ("variable", r"^(?:(?:const|let|var|final|static)\s+)*(\w+)\s*(?::\s*\w+\s*)?=[^=]"),
-]
+def _languages(files: DataFrame, content: str, path: str) -> Column:
+    if "language" in files.columns:
+        return F.col("language")
+    return detect_language(F.col(path), F.col(content)) if path in files.columns else F.lit(None).cast("string")
 
 
-def definitions(files: DataFrame, content: str = "content") -> DataFrame:
-    """Functions, classes, imports and module variables by line, with line ranges.
+def definitions(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """Functions, classes, imports and module variables with their lines (from 0) and the definition around them (``scope``).
 
-    A definition ends before the next line that starts at its indent or less.
+    A file is read once by `lexer.defined`, which skips strings and comments. Its language is the column ``language``, else that of
+    ``path``. Null contents define nothing.
     """
-    def kind_and_name(line: Column) -> tuple[Column, Column]:
-        kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for label, pattern in reversed(DEFINITIONS):
-            hit = line.rlike(pattern)
-            kind = F.when(hit, label).otherwise(kind)
-            name = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(name)
-        return kind, name
-
-    def shape(x: Column, i: Column) -> Column:
-        kind, name = kind_and_name(x)
-        return F.struct(
-            i.alias("no"), (F.length(x) - F.length(F.ltrim(x))).alias("indent"), (F.trim(x) == "").alias("blank"),
-            F.ltrim(x).rlike(r"^[})\]]").alias("closing"), kind.alias("kind"), name.alias("name"),
-        )
+    rest = [c for c in files.columns if c != content]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*rest).schema.fields]
+    cols = ["chunk_type string", "name string", "start_line int", "end_line int", "scope string"]
+    names = [*rest, *[c.split()[0] for c in cols]]
 
-    def located(lines: Column) -> Column:
-        def one(d: Column) -> Column:
-            later = F.filter(lines, lambda x: (x["no"] > d["no"]) & ~x["blank"] & ~x["closing"] & (x["indent"] <= d["indent"]))
-            end = F.when(d["kind"].isin("import", "variable"), d["no"]).otherwise(F.coalesce(F.get(later, 0)["no"] - 1, F.size(lines) - 1))
-            return F.struct(d["kind"].alias("chunk_type"), d["name"].alias("name"), d["no"].alias("start_line"), end.alias("end_line"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, languages = (batch.column(len(rest) + i).to_pylist() for i in (0, 1))
+            rows = [(at, *d) for at, (text, language) in enumerate(zip(texts, languages, strict=True)) if text for d in lexer.defined(text, language)]
+            kept = batch.select(list(range(len(rest)))).take(pa.array([r[0] for r in rows], pa.int64()))
+            types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(types)]], names)
 
-        return F.transform(F.filter(lines, lambda x: x["kind"].isNotNull()), one)
+    given = files.select(*rest, F.col(content).alias("_text"), _languages(files, content, path).alias("_language"))
+    return given.mapInArrow(run, ", ".join(fields + cols))
 
-    # all inside the file's row: only definitions become rows
-    found = let(F.transform(F.split(F.col(content), "\n", -1), shape), located)
+
+def masked_code(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """The same files with strings and comments blanked out in ``content``; lines and places stay."""
     rest = [c for c in files.columns if c != content]
-    return files.select(*rest, F.explode(found).alias("_d")).select(*rest, "_d.*")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*rest, content).schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, languages = (batch.column(len(rest) + i).to_pylist() for i in (0, 1))
+            code = [None if t is None else lexer.masked(t, x) for t, x in zip(texts, languages, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(code, pa.string())], [*rest, content])
+
+    given = files.select(*rest, F.col(content).alias("_text"), _languages(files, content, path).alias("_language"))
+    return given.mapInArrow(run, ", ".join(fields))
 
 
 def code_edges(defs: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Calls, inheritance and imports as edges ``([repository,] path, src, dst, rel_type, line)``.
+    """Calls, inheritance and imports as edges ``([repository,] path, src, dst, rel_type, line)``, none from strings or comments.
 
     A call belongs to the innermost function of its own file whose lines hold it, or to the file.
     Paths may recur in several repositories; ``repository`` is carried along where there is one.
     """
     file = [k for k in ("repository", path) if k in files.columns]
-    lines = files.select(*file, F.posexplode(F.split(content, "\n", -1)).alias("line", "text"))
+    lines = masked_code(files, content, path).select(*file, F.posexplode(F.split(content, "\n", -1)).alias("line", "text"))
     called = F.array_except(
         find_all(F.col("text"), r"\b([A-Za-z_]\w*)\s*\("),
         F.array(*[F.lit(w) for w in "if for while switch catch return def function func fn class print super elif with".split()]),
     )
-    declared = F.regexp_extract("text", r"(?:def|function|func|fn)\s+(\w+)", 1)
-    calls = lines.select(*file, "line", F.explode(called).alias("name"), declared.alias("_d")).where("name <> _d")
+    # a name that is defined on its line is not called there
+    own = defs.where("chunk_type LIKE '%definition'").select(*file, F.col("start_line").alias("line"), "name").distinct()
+    calls = lines.select(*file, "line", F.explode(called).alias("name")).join(own, [*file, "line", "name"], "left_anti")
     funcs = defs.where("chunk_type = 'function_definition'").select(*file, F.col("name").alias("owner"), "start_line", "end_line")
     # a function's lines, so that the lookup is an equi-join
     spans = funcs.select(*file, "owner", "start_line", F.explode(F.sequence("start_line", "end_line")).alias("line"))

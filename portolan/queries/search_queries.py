@@ -1,12 +1,15 @@
 """Search queries: embeddings for vectors, documents for texts, benchmark items as questions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from portolan.functions import rules
 from portolan.operators import search
 from portolan.queries.registry import query
 from portolan.queries.text_queries import first_match
-from portolan.session import widen, written
+from portolan.session import scratch_root, widen, written
+from portolan.sources import stores
 
 
 def r6(*cols):
@@ -307,3 +310,43 @@ def _(t):
 def _(t):
     out = search.embed_chunks(widen(t.chunks).select("id", "content"))
     return out.select("id", F.size("vector").alias("dimension"), F.round(F.array_max("vector"), 4).alias("largest"), "embedding_failed")
+
+
+@query("embedding_places", """
+    WITH w AS (SELECT id, content AS code FROM source_files),
+    tokens AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(code), '\\w+')) AS token FROM w),
+    crc AS (SELECT id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(token, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)), 4294967295) % 768 AS place FROM tokens)
+    SELECT id, count(DISTINCT place) AS places, 768::BIGINT AS dimension, 1.0::DOUBLE AS norm, false AS embedding_failed FROM crc GROUP BY id""")
+def _(t):
+    """The default encoder: as many places as hashed tokens, at length one."""
+    out = search.embed_chunks(t.source_files.select("id", "content"))
+    size = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return out.select(
+        "id", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("places"), F.size("vector").cast("long").alias("dimension"),
+        F.round(F.sqrt(size(F.col("vector"))), 4).alias("norm"), "embedding_failed",
+    )
+
+
+@query("written_vectors", """
+    SELECT repository, count(*) AS chunks, count(*) FILTER (contains(content, 'tion')) AS failed, 4 * count(*) AS numbers,
+           count(*) FILTER (contains(content, 'tion')) AS zero_vectors
+    FROM chunks GROUP BY repository""")
+def _(t):
+    """A batch the encoder fails on is written with zero vectors, its flag and the error, and read back."""
+    import numpy as np
+
+    def encoder(texts):
+        if any("tion" in x for x in texts):
+            raise ValueError("no vector")
+        return np.ones((len(texts), 4))
+
+    made = search.embed_chunks(widen(t.chunks).select("id", "repository", "content"), encoder=encoder, size=4, batch=1).drop("content")
+    path = f"{scratch_root(t.spark)}/vectors-{uuid.uuid4().hex}"
+    stores.write_vectors(made, path)
+    back = t.spark.read.parquet(path)
+    empty = F.forall("vector", lambda x: x == 0)
+    return back.groupBy("repository").agg(
+        F.count("*").alias("chunks"), F.count_if(F.col("embedding_failed") & F.col("embedding_error").contains("no vector")).alias("failed"),
+        F.sum(F.size("vector")).alias("numbers"), F.count_if(empty).alias("zero_vectors"),
+    )

