@@ -106,11 +106,9 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.select(whole().cast("binary").alias("t")).mapInArrow(run, "h long")
 
 
-def _map_of(grams: DataFrame) -> np.ndarray:
-    """A bit map of the grams that occur more than once, by the upper bits of their hash."""
-    twice = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.shiftrightunsigned("h", 37) + 1
-    rows = twice.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+def _bit_map(keys: DataFrame, place) -> np.ndarray:
+    """A bit map of the places that ``keys`` have, of `MAP_BITS` however many there are."""
+    rows = keys.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(MAP_BITS // 8, np.uint8)
     # at most MAP_BITS / 32768 rows of 4 KiB
     for r in rows.toLocalIterator():
@@ -118,6 +116,12 @@ def _map_of(grams: DataFrame) -> np.ndarray:
     return out
 
 
+def _map_of(grams: DataFrame) -> np.ndarray:
+    """A bit map of the grams that occur more than once, by the upper bits of their hash."""
+    twice = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return _bit_map(twice, F.shiftrightunsigned("h", 37))
+
+
 def common(a: bytes, b: bytes, at: int) -> int:
     """The length of the common prefix, which is known up to ``at``."""
     n = min(len(a), len(b))
@@ -275,20 +279,26 @@ def _marked(texts: list[bytes], marks: np.ndarray) -> Iterator[tuple[bytes, list
         yield data.tobytes(), index, zip(owner.tolist(), gram.tolist(), low.tolist(), high.tolist(), (h & np.uint64(0xFFFFFFFF)).tolist(), strict=True)
 
 
-def _places(docs: DataFrame, bits) -> DataFrame:
-    """``row, ids, grams``: per text the identities of its suffixes, 16 bytes each, and where their grams are."""
+def _places(docs: DataFrame, bits, known) -> DataFrame:
+    """``row, ids, grams``: per text the identities of its suffixes, 16 bytes each, and where their grams are.
+
+    Only identities in the map ``known`` of those found are named, and the few that share a bit with one by chance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = bits.value
+        marks, hits = bits.value, known.value
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for raw, index, found in _marked(texts, marks):
                 mine: dict[int, tuple[list, list]] = {}
                 for o, g, a, z, _ in found:
                     text, start, base = index[o]
-                    ids, grams = mine.setdefault(text, ([], []))
-                    ids.append(identity(raw[a:g][::-1], raw[g : z + SPAN]))
-                    grams.append(base + g - start)
+                    name = identity(raw[a:g][::-1], raw[g : z + SPAN])
+                    place = int.from_bytes(name[:4], "big") >> 5
+                    if hits[place >> 3] >> (place & 7) & 1:
+                        ids, grams = mine.setdefault(text, ([], []))
+                        ids.append(name)
+                        grams.append(base + g - start)
                 if mine:
                     rows = [(keys[t], b"".join(i), g) for t, (i, g) in mine.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["row", "ids", "grams"])
@@ -422,7 +432,8 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
        into runs, equal ones once, and sends them front-coded and packed to the bucket of their gram.
     3. Each bucket merges its runs by a loser tree that goes by shared prefixes. Suffixes of a gram then stand
        together, and what they share on both sides tells which strings repeat (`repeated`).
-    4. A third pass names the suffixes of every text by hash, the offsets go back to them, and ranges are joined.
+    4. A third pass names the suffixes of every text by hash; those that a bit map of the found ones lets through
+       get their offsets back, and ranges are joined.
 
     A gram with more than ``group`` different surroundings does not go through one task: its strings meet by hash.
     """
@@ -438,7 +449,10 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
         plain = plain.unionByName(_by_hash(crowd))
     # an id is 16 bytes; suffixes equal in two tasks have one id and the same offsets
     per = plain.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("offsets"))
-    places = _places(docs, bits).select("row", F.posexplode("grams").alias("i", "gram"), "ids").select(
+    # the same 27 bits as in `_places`
+    named = F.shiftright(F.conv(F.hex(F.expr("substring(id, 1, 4)")), 16, 10).cast("long"), 5)
+    known = spark.sparkContext.broadcast(_bit_map(plain.select("id").distinct(), named))
+    places = _places(docs, bits, known).select("row", F.posexplode("grams").alias("i", "gram"), "ids").select(
         "row", F.expr("substring(ids, i * 16 + 1, 16)").alias("id"), "gram"
     )
     hit = places.join(per, "id").select("row", "gram", F.explode("offsets").alias("o"))
@@ -471,7 +485,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     kind = "array<struct<start:int,end:int>>"
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", row_key(F.col("doc_id"), whole()).alias("row"), whole().cast("binary").alias("t"))
-    joined = source.join(repeats(docs), "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans"), "t")
+    found = written(repeats(docs), "spans")
+    # a bit map of rows with ranges: no other text is shuffled
+    place = F.shiftrightunsigned(F.xxhash64("row"), 37)
+    bits = found.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bit = F.bitmap_bit_position(place + 1)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+    marked = source.withColumn("bucket", F.bitmap_bucket_number(place + 1)).join(F.broadcast(bits), "bucket", "left").withColumn("maybe", F.coalesce(set_, F.lit(False)))
+    none = F.array().cast(kind)
+    joined = marked.where("maybe").select("doc_id", "row", "t").join(found, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"), "t")
+    joined = joined.unionByName(marked.where("NOT maybe").select("doc_id", none.alias("spans"), "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
