@@ -448,10 +448,11 @@ def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     if not crowd.isEmpty():
         plain = plain.unionByName(_by_hash(crowd))
     # an id is 16 bytes; suffixes equal in two tasks have one id and the same offsets
-    per = plain.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("offsets"))
+    # written, so that the join below has shuffles of its own, which adaptive execution splits where one id is in most texts
+    per = written(plain.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("offsets")), "offsets")
     # the same 27 bits as in `_places`
     named = F.shiftright(F.conv(F.hex(F.expr("substring(id, 1, 4)")), 16, 10).cast("long"), 5)
-    known = spark.sparkContext.broadcast(_bit_map(plain.select("id").distinct(), named))
+    known = spark.sparkContext.broadcast(_bit_map(per, named))
     places = _places(docs, bits, known).select("row", F.posexplode("grams").alias("i", "gram"), "ids").select(
         "row", F.expr("substring(ids, i * 16 + 1, 16)").alias("id"), "gram"
     )
