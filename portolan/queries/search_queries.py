@@ -180,40 +180,46 @@ def _(t):
 FILES = f"{ASKED}, f AS (SELECT source_files.id, path AS file_path, content, vector FROM source_files JOIN vectors ON source_files.id = vectors.id)"
 
 
-@query("struts_action_search", f"""
-    WITH {FILES}, {hits('h', 'f', 50, 0.05)},
+STRUTS_HITS = """
     n AS (SELECT query_id, rank, score, file_path, content, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '') AS c,
                  row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn
           FROM h JOIN f USING (id) WHERE contains(file_path, 'Action') AND contains(file_path, '.java'))
     SELECT query_id, replace(c, 'Action', '') AS feature_name, c AS class_name, file_path, score, concat(substr(content, 1, 300), '...') AS code_preview
-    FROM n WHERE rn <= 20""")
+    FROM n WHERE rn <= 20"""
+
+
+@query("struts_action_search", f"WITH {FILES}, {hits('h', 'f', 50, 0.05)}, {STRUTS_HITS}")
 def _(t):
     f = files(t)
     return search.struts_action_hits(with_rows(search.vector_search(asked(t), f, 50, 0.05), f))
 
 
-@query("business_logic_search", f"""
-    WITH {FILES}, {hits('h', 'f', 15, 0.05)}
+LOGIC_HITS = f"""
     SELECT query_id, file_path, score, concat(substr(content, 1, 400), '...') AS code_snippet, {first_match('file_path', rules.FILE_TYPE, "'Other'")} AS file_type
-    FROM h JOIN f USING (id)""")
+    FROM h JOIN f USING (id)"""
+
+
+@query("business_logic_search", f"WITH {FILES}, {hits('h', 'f', 15, 0.05)} {LOGIC_HITS}")
 def _(t):
     f = files(t)
     return search.business_logic_hits(with_rows(search.vector_search(asked(t), f, 15, 0.05), f))
 
 
-@query("security_search", f"""
-    WITH {FILES}, {hits('h', 'f', 8, 0.05)}
+SECURITY_HITS = f"""
     SELECT split_part(text, ' ', 1) AS security_pattern, file_path, score, concat(substr(content, 1, 250), '...') AS code_snippet,
            {first_match('lower(text)', rules.SECURITY_ADVICE, "'" + rules.SECURITY_ADVICE_DEFAULT + "'")} AS recommendation
-    FROM h JOIN f USING (id) JOIN asked ON h.query_id = asked.query_id ORDER BY h.query_id, rank LIMIT 20""")
+    FROM h JOIN f USING (id) JOIN asked ON h.query_id = asked.query_id ORDER BY h.query_id, rank LIMIT 20"""
+
+
+@query("security_search", f"WITH {FILES}, {hits('h', 'f', 8, 0.05)} {SECURITY_HITS}")
 def _(t):
     f = files(t)
     found = with_rows(search.vector_search(asked(t), f, 8, 0.05), f)
     return search.security_hits(found.join(asked(t).select("query_id", F.col("text").alias("pattern")), "query_id"))
 
 
-@query("feature_dependencies", f"""
-    WITH {FILES}, {hits('h', 'f', 20, 0.05)}, r AS (SELECT h.*, file_path, content FROM h JOIN f USING (id)),
+FEATURE_HITS = """
+    r AS (SELECT h.*, file_path, content FROM h JOIN f USING (id)),
     j AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM r WHERE contains(file_path, '.java')),
     x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM r WHERE contains(file_path, '.xml') OR contains(file_path, '.properties')),
     b AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(content, '(?i)FROM\\s+(\\w+)', 1)) AS name FROM r WHERE regexp_matches(content, '(?i)(SELECT|INSERT|UPDATE|DELETE|FROM)')),
@@ -221,7 +227,10 @@ def _(t):
     SELECT query_id, 'class' AS kind, file_path AS name FROM j WHERE rn <= 10
     UNION ALL SELECT query_id, 'config', file_path FROM x WHERE rn <= 5
     UNION ALL SELECT query_id, 'table', name FROM bn WHERE rn <= 10
-    UNION ALL SELECT query_id, 'service', concat('Referenced in ', regexp_extract(file_path, '([^/]*)$', 1)) FROM r WHERE regexp_matches(content, '(?i)(service|client|api|http)')""")
+    UNION ALL SELECT query_id, 'service', concat('Referenced in ', regexp_extract(file_path, '([^/]*)$', 1)) FROM r WHERE regexp_matches(content, '(?i)(service|client|api|http)')"""
+
+
+@query("feature_dependencies", f"WITH {FILES}, {hits('h', 'f', 20, 0.05)}, {FEATURE_HITS}")
 def _(t):
     f = files(t)
     return search.feature_dependencies(with_rows(search.vector_search(asked(t), f, 20, 0.05), f))
@@ -259,50 +268,94 @@ def embedded_files(t):
     return written(search.embed_chunks(f, size=search.VECTOR_SIZE), "embedded_files")
 
 
-def named(t, names, k, least, subject=""):
-    """Hits of preset texts over all source files, with the files."""
+def named(t, texts, k, least):
+    """Hits of named texts over all source files, with the files."""
     f = embedded_files(t)
-    texts = {n: search.PRESET_QUERIES[n].format(subject) for n in names}
     return with_rows(search.named_search(f, texts, k, least), f)
 
 
-@query("named_struts_actions")
-def _(t):
-    return search.struts_action_hits(named(t, ["struts_actions"], 50, 0.2))
+CRC_PLACE = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(token, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)), 4294967295) % 768"""
+
+
+def preset_hits(asked, k, least):
+    """DuckDB: hits ``h`` of the texts ``asked(query_id, text)`` among the source files ``f`` by the default encoder."""
+    return f"""
+    f AS (SELECT id, path AS file_path, content FROM source_files), asked AS ({asked}),
+    said AS (SELECT 'f' AS kind, id::VARCHAR AS key, content AS words FROM f UNION ALL SELECT 'q', query_id, text FROM asked),
+    token AS (SELECT kind, key, token, count(*) AS n FROM (SELECT kind, key, unnest(regexp_extract_all(lower(words), '\\w+')) AS token FROM said) GROUP BY ALL),
+    place AS (SELECT token, {CRC_PLACE} AS place FROM (SELECT DISTINCT token FROM token)),
+    vec AS (SELECT kind, key, place, sum(n)::DOUBLE AS x FROM token JOIN place USING (token) GROUP BY ALL),
+    size AS (SELECT kind, key, sqrt(sum(x * x)) AS s FROM vec GROUP BY ALL),
+    scored AS (SELECT q.key AS query_id, v.key::BIGINT AS id, round(sum(q.x * v.x) / (any_value(a.s) * any_value(b.s)), 6) AS score
+               FROM vec q JOIN vec v ON q.place = v.place AND q.kind = 'q' AND v.kind = 'f' JOIN size a ON a.kind = 'q' AND a.key = q.key JOIN size b ON b.kind = 'f' AND b.key = v.key
+               GROUP BY q.key, v.key),
+    h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {k} AND score >= {least})"""
 
 
-@query("named_business_logic")
+def preset_rows(texts):
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{text}')" for n, text in texts.items()) + ") a(query_id, text)"
+
+
+def preset_texts(names, subject=""):
+    return {n: search.PRESET_QUERIES[n].format(subject) for n in names}
+
+
+SECURITY_TEXTS = {f"{i:02d}": q for i, q in enumerate(search.SECURITY_QUERIES)}
+
+
+@query("named_struts_actions", f"WITH {preset_hits(preset_rows(preset_texts(['struts_actions'])), 50, 0.2)}, {STRUTS_HITS}")
 def _(t):
-    return search.business_logic_hits(named(t, ["business_logic"], 15, 0.1, "PartService"))
+    return search.struts_action_hits(named(t, preset_texts(["struts_actions"]), 50, 0.2))
 
 
-@query("named_security")
+@query("named_business_logic", f"WITH {preset_hits(preset_rows(preset_texts(['business_logic'], 'PartService')), 15, 0.1)} {LOGIC_HITS}")
 def _(t):
-    f = embedded_files(t)
-    found = search.named_search(f, {f"{i:02d}": q for i, q in enumerate(search.SECURITY_QUERIES)}, 8, 0.05)
-    return search.security_hits(with_rows(found, f))
+    return search.business_logic_hits(named(t, preset_texts(["business_logic"], "PartService"), 15, 0.1))
 
 
-@query("named_feature_dependencies")
+@query("named_security", f"WITH {preset_hits(preset_rows(SECURITY_TEXTS), 8, 0.05)} {SECURITY_HITS}")
 def _(t):
-    return search.feature_dependencies(named(t, ["feature"], 20, 0.05, "PartService"))
+    return search.security_hits(named(t, SECURITY_TEXTS, 8, 0.05))
 
 
-@query("named_migration_suggestions")
+@query("named_feature_dependencies", f"WITH {preset_hits(preset_rows(preset_texts(['feature'], 'PartService')), 20, 0.05)}, {FEATURE_HITS}")
 def _(t):
-    found = named(t, ["suggestion_logic", "suggestion_data"], 20, 0.05)
+    return search.feature_dependencies(named(t, preset_texts(["feature"], "PartService"), 20, 0.05))
+
+
+@query("named_migration_suggestions", f"""
+    WITH {preset_hits(preset_rows(preset_texts(['suggestion_logic', 'suggestion_data'])), 20, 0.05)},
+    r AS (SELECT h.*, lower(content) AS low, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM h JOIN f USING (id))
+    SELECT DISTINCT 'suggestions' AS query_id, kind, name FROM (
+        SELECT 'type' AS kind, replace(replace(replace(replace(stem, 'Form', ''), 'DTO', ''), 'Bean', ''), 'Data', '') AS name FROM r
+        WHERE query_id = 'suggestion_data' AND rank <= 8 AND (contains(stem, 'Form') OR contains(stem, 'DTO') OR contains(stem, 'Bean') OR contains(stem, 'Data'))
+        UNION ALL SELECT 'query', concat('get', replace(replace(stem, 'Action', ''), 'Service', '')) FROM r
+        WHERE query_id = 'suggestion_logic' AND rank <= 10 AND regexp_matches(low, 'get|find|search|list|retrieve')
+        UNION ALL SELECT 'mutation', concat('update', replace(replace(stem, 'Action', ''), 'Service', '')) FROM r
+        WHERE query_id = 'suggestion_logic' AND rank <= 10 AND regexp_matches(low, 'save|create|update|delete|insert')) WHERE kind <> 'type' OR name <> ''""")
+def _(t):
+    found = named(t, preset_texts(["suggestion_logic", "suggestion_data"]), 20, 0.05)
     one = found.withColumn("query_id", F.lit("suggestions"))
-    return search.migration_suggestions(one.where("pattern = '" + search.PRESET_QUERIES["suggestion_logic"] + "'"), one.where("pattern = '" + search.PRESET_QUERIES["suggestion_data"] + "'"))
+    of = lambda name: one.where(F.col("pattern") == search.PRESET_QUERIES[name])
+    return search.migration_suggestions(of("suggestion_logic"), of("suggestion_data"))
+
+
+LEGACY_TEXTS = preset_rows(search.LEGACY_QUERIES) + " UNION ALL SELECT DISTINCT lower(p_type), lower(p_type) FROM part"
 
 
-@query("embedded_legacy_search")
+@query("embedded_legacy_search", f"""
+    WITH {preset_hits(LEGACY_TEXTS, 20, 0.1)}
+    SELECT query_id, {first_match('file_path', rules.LEGACY_FILE_KIND, "'other_files'")} AS kind, file_path, score,
+           concat(substr(content, 1, 300), '...') AS content_preview, count(*) OVER (PARTITION BY query_id) AS total_results
+    FROM h JOIN f USING (id)""")
 def _(t):
     """Named patterns embedded with the default encoder and searched in the embedded source files."""
     f = search.embed_chunks(t.source_files.select("id", F.col("path").alias("file_path"), "content"), size=search.VECTOR_SIZE)
-    named = t.part.select(F.lower("p_type").alias("pattern")).distinct().unionByName(
+    patterns = t.part.select(F.lower("p_type").alias("pattern")).distinct().unionByName(
         t.spark.createDataFrame([(p,) for p in search.LEGACY_QUERIES], "pattern string")
     )
-    q = search.embed_chunks(search.legacy_queries(named), content="text").select(F.col("pattern").alias("query_id"), "vector")
+    q = search.embed_chunks(search.legacy_queries(patterns), content="text").select(F.col("pattern").alias("query_id"), "vector")
     return search.legacy_pattern_hits(with_rows(search.vector_search(q, f, 20, 0.1), f))
 
 
@@ -312,11 +365,10 @@ def _(t):
     return out.select("id", F.size("vector").alias("dimension"), F.round(F.array_max("vector"), 4).alias("largest"), "embedding_failed")
 
 
-@query("embedding_places", """
+@query("embedding_places", f"""
     WITH w AS (SELECT id, content AS code FROM source_files),
     tokens AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(code), '\\w+')) AS token FROM w),
-    crc AS (SELECT id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(token, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-                   lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)), 4294967295) % 768 AS place FROM tokens)
+    crc AS (SELECT id, {CRC_PLACE} AS place FROM tokens)
     SELECT id, count(DISTINCT place) AS places, 768::BIGINT AS dimension, 1.0::DOUBLE AS norm, false AS embedding_failed FROM crc GROUP BY id""")
 def _(t):
     """The default encoder: as many places as hashed tokens, at length one."""
