@@ -65,7 +65,8 @@ def test_stages_keep_columns_and_decide(spark, docs_of, odd_rows, bench, labels,
         assert at.columns == docs.columns, name
     kept = sorted(r["doc_id"] for r in at.select("doc_id").where("doc_id IS NOT NULL").collect())
     # 2 equals 1, 4 and null texts too, 5 keeps a blank and so another text but the same fingerprint
-    assert kept == [1, 3, 6, 6, 7, 8, 9] or kept == [1, 3, 6, 6, 7, 8, 9, 10]
+    # 10 differs from 1 by one word of 120, which is more than three bits
+    assert kept == [1, 3, 6, 6, 7, 8, 9, 10]
     last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert all(r["round_trip"] for r in last.collect())
 
