@@ -256,3 +256,19 @@ def test_passages_round_a_frequent_line(docs_of, block):
         rows += [(k, f"{new(60)} {line} {new(1)} {behind} {new(60)}") for k in (i, i + 1)]
     got = passages.shared_passages(docs_of(rows), block).collect()
     assert sorted((min(x["doc_id"], x["ref_id"]), max(x["doc_id"], x["ref_id"])) for x in got) == [(i, i + 1) for i in range(20, 50, 2)]
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK, 2])
+def test_passages_of_texts_that_others_explain(docs_of, block):
+    """All words that 3 and 4 share are in passages of 3 with 1 and 2; 20 and 21 go on 9 words behind an edit, 30 and 31 over 7 words put in."""
+    r = random.Random(3)
+    new = lambda n: prose(r.random(), n, vocabulary=5000)
+    part = lambda text, *at: " ".join(text.split(" ")[slice(*at)])
+    before, both, behind, line, long_, tail, other = new(10), new(55), new(10), new(42), new(40), new(9), new(30)
+    inner = [f"{before} {part(both, 45)}", f"{part(both, 10, None)} {behind}", f"{before} {both} {behind}", both]
+    rows = [(i + 1, f"{new(80)} {t} {new(80)}") for i, t in enumerate(inner)]
+    rows += [(i, f"{new(80)} {line} {new(80)}") for i in range(10, 16)]
+    rows += [(i, f"{new(80)} {long_} {new(1)} {tail} {new(80)}") for i in (20, 21)]
+    rows += [(30, f"{new(80)} {line} {new(7)} {other} {new(80)}"), (31, f"{new(80)} {line} {other} {new(80)}")]
+    got = passages.shared_passages(docs_of(rows).coalesce(1), block).collect()
+    assert {(min(x["doc_id"], x["ref_id"]), max(x["doc_id"], x["ref_id"])) for x in got} == {(1, 3), (2, 3), (3, 4), (20, 21), (30, 31)}
