@@ -272,3 +272,46 @@ def test_passages_of_texts_that_others_explain(docs_of, block):
     rows += [(30, f"{new(80)} {line} {new(7)} {other} {new(80)}"), (31, f"{new(80)} {line} {other} {new(80)}")]
     got = passages.shared_passages(docs_of(rows).coalesce(1), block).collect()
     assert {(min(x["doc_id"], x["ref_id"]), max(x["doc_id"], x["ref_id"])) for x in got} == {(1, 3), (2, 3), (3, 4), (20, 21), (30, 31)}
+
+
+def test_near_pairs_tie_what_hashes_tie():
+    """Occurrences compared word by word and by hashes fall into the same sets: by an equal run, or one behind an edit."""
+    r = random.Random(8)
+    side = passages.REACH
+    noise = lambda n: [r.randrange(1 << 30) for _ in range(n)]
+    seed, rows = noise(passages.SEED), []
+    before, behind = noise(side), noise(side)
+    for k in range(24):
+        left, right = noise(side), noise(side)
+        if k % 3:  # runs of 25 words and more
+            left[side - 5 :], right[: 4 + k] = before[side - 5 :], behind[: 4 + k]
+        if k % 3 == 2:  # and on behind an edit, of one word or of one put in
+            right = [*behind[:20], *noise(1), *behind[20 + k % 2 : side - 1 + k % 2]]
+        rows.append([*left, *seed, *right])
+    around = np.array(rows, np.int64)
+    n = len(rows)
+    zeros, no, rid = np.zeros(n, np.int64), np.zeros(n, bool), np.arange(n)
+    sets = passages._Sets(n)
+    near, hashed = passages._near_pairs([(0, n)], rid, zeros, no, around, sets), passages._pairs_by_hash(zeros, rid, zeros, no, around, rid)
+
+    def parts(pairs):
+        s = passages._Sets(n)
+        for i, j in pairs:
+            s.join(i, j)
+        tops = s.tops(rid)
+        return {frozenset(np.flatnonzero(tops == t).tolist()) for t in tops}
+
+    assert parts(near) == parts(hashed) and any(len(p) > 1 for p in parts(near))
+
+
+def test_only_needed_texts_are_moved(spark):
+    texts = spark.range(400).selectExpr("(id div 100 << 33) + id % 100 AS rid", "array(id) AS words")
+    wanted = texts.where("rid % 100 IN (3, 4)").select("rid")
+    got = {r["rid"] for r in passages._needed(texts, wanted).collect()}
+    assert got == {r["rid"] for r in wanted.collect()}
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    df = spark.createDataFrame([("AbC \t Zz",), ("AbC ÉÀ\nZz",), ("abc ÉÀ zz",)], "text string")
+    first, second, third = (r[0] for r in df.select(passages.word_hashes(df["text"])).collect())
+    assert second == third and [second[0], second[2]] == first and len(first) == 2
