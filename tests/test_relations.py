@@ -26,3 +26,28 @@ def test_related_chunks_are_distinct_without_a_shuffle_of_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     # the pairs of all chunks are not made distinct once more
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_cross_repo_references_read_components_once(spark):
+    rnd = random.Random(6)
+    names = ["Rate", "Fund", "Loan", "", None]
+    texts = ['ServiceLocator.get("Rate") Fund', "long Loan(in string s)", "none", 'x.lookup("Loan")', None]
+    rows = [(rnd.choice([1, 2, 3, None]), rnd.choice(["rule", "action", "corba", "jsp", "file", None]), rnd.choice(names), rnd.choice(texts)) for _ in range(80)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "repo int, kind string, name string, text string"
+    found = relations.cross_repo_references(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).collect()
+    assert seen.value == len(rows)
+    want = {}
+    for r, k, _, x in rows:
+        if x is None or not (k == "corba" or k == "action" and any(m in x for m in relations.REMOTE_CALLS)):
+            continue
+        for r2, k2, n, _ in rows:
+            if None not in (r, r2) and r != r2 and n and n in x and k2 in ("rule", "action", "corba", "jsp") and (k == "action" or k2 == "corba"):
+                want[r, k, r2, k2, n] = want.get((r, k, r2, k2, n), 0) + 1
+    assert {tuple(f)[:5]: f.weight for f in found} == want and len(found) == len(want)
